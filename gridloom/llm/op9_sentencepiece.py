@@ -32,7 +32,7 @@ _loaded: dict = {}
 class ChunkTable:
     """Keys are chunks without their first marker; markers are spaces here."""
 
-    def __init__(self, path: str, table_chars: int = 50_000_000):
+    def __init__(self, path: str, table_chars: int = 6_000_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -77,7 +77,7 @@ def _table(path: str, table_chars: int) -> ChunkTable:
     return _loaded[path]
 
 
-def encode_decode(docs: DataFrame, model: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), key: str = "doc_id", text: str = "text", table_chars: int = 50_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded"), key: str = "doc_id", text: str = "text", table_chars: int = 6_000_000) -> DataFrame:
     """Rows (key, *outputs), one for each row of docs.
 
     outputs: of ids (with begin and end ids), decoded, n_tokens, ids_sha256,
