@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("op6_superkmers", "op2_url_filter", "op7_fst_tokens", "op10_mcd_quality", "op3_toxicity", "op4_grace_dedup", "op5_simhash", "op8_mixing", "op9_sentencepiece")
+MODULES = ("op1_ctw", "op6_superkmers", "op2_url_filter", "op7_fst_tokens", "op10_mcd_quality", "op3_toxicity", "op4_grace_dedup", "op5_simhash", "op8_mixing", "op9_sentencepiece")
 
 
 def queries() -> dict:
