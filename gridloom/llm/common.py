@@ -62,5 +62,10 @@ def fold(column: str = "doc_id", by: int = 1):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % by
 
 
+def row_number(row: str | None):
+    """The given column of unique numbers, or one made from partition and place."""
+    return F.col(row).cast("long") if row else F.monotonically_increasing_id()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -131,17 +131,18 @@ def grace_partition(records: DataFrame, bucket_bytes: int, fan_bits: int, max_le
         rest = rest.drop("one", "bytes")
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20, fan_bits: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20, fan_bits: int | None = None, row: str | None = None) -> DataFrame:
     """Rows (key, keep_id, group_size, kept, text_sha256, _row), one for each row of docs.
 
     Texts are equal when their normalised bytes are; null counts as empty. The row of
     the smallest key stays; of several rows with that key, the first read. Null keys
     come last: keep_id is null only where all keys of a group are. Other columns of docs
     are ignored; an empty table gives an empty one. fan_bits: hash bits a level, by
-    default enough for two buckets a shuffle partition.
+    default enough for two buckets a shuffle partition. row: a column of unique numbers,
+    returned as _row; by default one is made.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    rows = docs.select(common.row_number(row).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     fan_bits = fan_bits or min(16, max(6, (2 * common.partitions(spark) - 1).bit_length()))
     fits, rest = grace_partition(rows.mapInArrow(_records, RECORDS), bucket_bytes, fan_bits)
     found = "rec long, keep_id long, keep_row long, group_size long"

@@ -52,8 +52,8 @@ def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, words: int) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, words: int, row: str | None = None) -> DataFrame:
+    rows = docs.select(common.row_number(row).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
 
     def run(batches):
         for b in batches:
@@ -194,7 +194,7 @@ def links(nodes: DataFrame, radius: int, words: int, keys: list[list[int]], pivo
     return dealt.mapInArrow(_link(words, pivots, radius), "hi long, lo long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, tables: int = 0, pivots: int = 16, bucket_rows: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, tables: int = 0, pivots: int = 16, bucket_rows: int = 4096, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Rows (key, fingerprint, component_id, kept, _row), one for each row of docs.
 
     fingerprint: hex; component_id: smallest key that links reach; kept: true for one
@@ -202,9 +202,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: i
     texts and texts of no words have fingerprint zero and link like any other. Null keys
     come last. Repeated rows are one node. Other columns of docs are ignored; an empty
     table gives an empty one. tables = 0: exact block keys (one word only); else that
-    many random keys of log2(nodes) + 1 bits, at least 16.
+    many random keys of log2(nodes) + 1 bits, at least 16. row: a column of unique
+    numbers, returned as _row; by default one is made.
     """
-    rows = common.spool(fingerprints(docs, key, text, shingle, words), "simhash")
+    rows = common.spool(fingerprints(docs, key, text, shingle, words, row), "simhash")
     nodes = common.spool(rows.groupBy("fp").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("least")), "simhash-nodes")
     if not tables and (words > 1 or radius > 6):
         raise ValueError("block keys need one hash word and a small radius; give tables")

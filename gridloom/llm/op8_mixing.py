@@ -93,17 +93,18 @@ def _round(last: bool, level: int, seed: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, chunk_docs: int = 4000, fan_in: int = 64, seed: int = 8, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, chunk_docs: int = 4000, fan_in: int = 64, seed: int = 8, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """Rows (key, source, size, source_size, target, copies, taken), one for each row of docs.
 
     size: words of the text (null: 0). A document of no words takes nothing. Draws come
     from a hash of key and text, so reruns agree; rows equal in both are told apart by
     their number among such rows. Copies lie within 0 and ceil(cap). Other columns of
-    docs are ignored; an empty table gives an empty one.
+    docs are ignored; an empty table gives an empty one. row: a column of unique numbers,
+    returned as _row; by default one is made.
     """
     text_col = F.coalesce(F.col(text), F.lit(""))
-    sized = docs.select(F.col(key), F.col(source).alias("source"), F.regexp_count(text_col, F.lit(common.WORD)).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), text_col).alias("_rank"))
-    sized = common.spool(sized.withColumn("_row", F.monotonically_increasing_id()), "mix-sized")
+    sized = docs.select(F.col(key), F.col(source).alias("source"), F.regexp_count(text_col, F.lit(common.WORD)).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), text_col).alias("_rank"), common.row_number(row).alias("_row"))
+    sized = common.spool(sized, "mix-sized")
     targets = common.spool(source_targets(sized, weights, share, cap).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     named = sized.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
