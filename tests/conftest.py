@@ -6,7 +6,6 @@ from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).parents[1]
 sys.path.insert(0, str(ROOT))
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
