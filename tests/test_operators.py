@@ -108,9 +108,9 @@ def test_prompt_endings(spark):
 
 def test_task_files(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"task_id": "x", "train": [{"input": [[1]], "output": [[2]]}], "test": [{"input": [[3]]}]}\nbroken\n{"train": [], "test": []}\n{"task_id": "x", "train": [], "test": []}\n')
-    rows = jsonl.unique_ids(jsonl.parsed_tasks(jsonl.lines(spark, str(tmp_path)))).orderBy("line_idx").collect()
-    assert [r["task_id"] for r in rows] == ["x", "task_00000002", "task_00000003"]
-    jsonl.write_tasks(spark.createDataFrame(rows).select("task_id", "train", "test"), str(tmp_path / "out"))
+    read = jsonl.unique_ids(jsonl.parsed_tasks(jsonl.lines(spark, str(tmp_path / "a.jsonl")))).cache()
+    assert [r["task_id"] for r in read.orderBy("line_idx").collect()] == ["x", "task_00000002", "task_00000003"]
+    jsonl.write_tasks(read, str(tmp_path / "out"))
     assert jsonl.parsed_tasks(jsonl.lines(spark, str(tmp_path / "out"))).count() == 3
 
 
