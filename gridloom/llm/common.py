@@ -44,6 +44,12 @@ def spool(df: DataFrame, name: str, *by: str, compression: str = "zstd") -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, name: str, most: int = 50_000) -> DataFrame:
+    """df spooled; a join sends it to all tasks if it has at most `most` rows, else Spark joins it as any other frame."""
+    df = spool(df, name)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

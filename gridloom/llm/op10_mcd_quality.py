@@ -7,7 +7,9 @@ determinant, approached by concentration steps from medians and median deviation
 describes the group, and vectors of too large a Mahalanobis distance are rejected.
 
 Each step sends partial sums only: medians come from mergeable sketches, and the
-distance that holds a share of a group is read from a histogram of its distances.
+distance that holds a share of a group is read from a histogram of its distances. What
+is known of groups is sent to all tasks while there are at most 50,000 of them, so that
+rows stay where they are, however many a group has.
 Groups under `LEAST_GROUP` rows are pooled by language, and those still under it all
 together.
 """
@@ -108,7 +110,7 @@ def _factor(est: DataFrame, scale: float) -> DataFrame:
 
 
 def _distance(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """Adds the squared Mahalanobis distance d2 under the group's estimate. The estimates have a row for each group, and Spark sends them to all tasks where they are measured to be small."""
+    """Adds the squared Mahalanobis distance d2 under the group's estimate."""
     rows = rows.join(est, "group")
     for i, x in enumerate(X):
         z = F.col(x) - F.col(f"m_{i}")
@@ -126,19 +128,19 @@ def _concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
     up = Window.partitionBy("group").orderBy("bin")
     bins = bins.withColumn("below", F.sum("n").over(up) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("group")))
     reach = bins.where(F.col("below") < SUBSET * F.col("all")).groupBy("group").agg(F.max("bin").alias("reach"))
-    inside = near.join(reach, "group").where("bin <= reach")
+    inside = near.join(common.small(reach, "mcd-reach"), "group").where("bin <= reach")
     sums = inside.groupBy("group").agg(*(F.avg(x).alias(f"m_{i}") for i, x in enumerate(X)), *(F.covar_pop(X[i], X[j]).alias(f"s_{i}_{j}") for i, j in _pairs()))
     return _factor(sums, CONSISTENCY)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """A robust mean and a factored covariance for each group of rows (group, x1..x4)."""
-    mid = rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"m_{i}") for i, x in enumerate(X)))
+    mid = common.small(rows.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"m_{i}") for i, x in enumerate(X))), "mcd-medians")
     off = rows.join(mid, "group").groupBy("group", *(f"m_{i}" for i in range(len(X)))).agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"m_{i}")), 0.5, 2000).alias(f"a_{i}") for i, x in enumerate(X)))
     spread = [(1.4826 * F.col(f"a_{i}")) ** 2 if i == j else F.lit(0.0) for i, j in _pairs()]
-    est = common.spool(_factor(off.withColumns({f"s_{i}_{j}": s for (i, j), s in zip(_pairs(), spread, strict=True)}), 1.0), "mcd-start")
+    est = common.small(_factor(off.withColumns({f"s_{i}_{j}": s for (i, j), s in zip(_pairs(), spread, strict=True)}), 1.0), "mcd-start")
     for k in range(STEPS):
-        est = common.spool(_concentrate(rows, est), f"mcd-{k}")
+        est = common.small(_concentrate(rows, est), f"mcd-{k}")
     return est
 
 
@@ -153,7 +155,7 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """
     stats = common.spool(statistics(docs, key, text, lang, source).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))), "quality")
     good = vectors(stats.where(~F.col("base_failed")))
-    named = common.spool(groups(good), "mcd-groups")
+    named = common.small(groups(good), "mcd-groups")
     same = good["lang"].eqNullSafe(named["lang"]) & good["source"].eqNullSafe(named["source"])
     rows = good.join(named, same).drop(named["lang"]).drop(named["source"])
     far = _distance(rows, estimates(rows.select("group", *X))).withColumn("kept", F.col("d2") <= cutoff)
