@@ -124,8 +124,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return np.r_[w[:-1] / spread, w[-1] - (w[:-1] * mean / spread).sum()]
 
 
-def fit(texts: list[str | None], toxic: list[int], window: int = WINDOW) -> Model:
-    """A model of rows (text, 0 or 1). Without rows of both labels the score is the share of toxic rows for all texts."""
+def fit(texts: list[str | None], toxic: list[int], share: float | None = None, window: int = WINDOW) -> Model:
+    """A model of rows (text, 0 or 1). share: of toxic rows where the sample comes from, if it isn't the sample's.
+
+    Without rows of both labels all texts get one score: near 1 for toxic rows alone, else near 0.
+    """
     rows, y = [_words(t) for t in texts], np.array(toxic, float)
     split = [[w for w, t in zip(rows, y, strict=True) if t == k] for k in (1, 0)]
     model = _dictionaries(*split, window)
@@ -140,13 +143,16 @@ def fit(texts: list[str | None], toxic: list[int], window: int = WINDOW) -> Mode
         other = _dictionaries(*([w for w, t, s in zip(rows, y, side, strict=True) if t == k and not s] for k in (1, 0)), window)
         x[side] = other.features([w for w, s in zip(rows, side, strict=True) if s])
     model.weights = _logistic(x, y)
+    if share and share < 1:  # the sample has its own share of toxic rows
+        model.weights[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
-    """Labelled rows to fit on: by hash of the key, TOXIC_ROWS and ORDINARY_ROWS at most, up to SAMPLE_CHARS characters; held-out folds aren't among them."""
+def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int], float]:
+    """Labelled rows to fit on, and the share of toxic ones among all that could be: by hash of the key, TOXIC_ROWS and ORDINARY_ROWS at most, up to SAMPLE_CHARS characters; held-out folds aren't among them."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (common.fold(key, 4) != 2)).select(key, F.col(label).cast("int").alias("_toxic"))
     known = known.groupBy(key).agg(F.max("_toxic").alias("_toxic"))
+    n, ones = known.agg(F.count("*"), F.coalesce(F.sum("_toxic"), F.lit(0))).first()
     order = F.xxhash64(F.col(key).cast("string"), F.lit(3))
     picked = known.where("_toxic = 1").orderBy(order).limit(TOXIC_ROWS).unionByName(known.where("_toxic = 0").orderBy(order).limit(ORDINARY_ROWS))
     rows = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).join(F.broadcast(picked), key)  # at most TOXIC_ROWS + ORDINARY_ROWS small rows
@@ -158,7 +164,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             chars += r["_chars"]
             texts.append(r["_text"])
             toxic.append(r["_toxic"])
-    return texts, toxic
+    return texts, toxic, ones / max(1, n)
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -118,8 +118,8 @@ def test_equal_hashes_do_not_make_windows_equal(monkeypatch):
 
     monkeypatch.setattr(m, "_runs", lambda h, n: np.zeros(len(h) - n + 1, np.uint64))
     a, b = [bytes([97 + i % 5]) for i in range(6)], [b"z"] * 6
-    got = m.first_documents([b" ".join(a), b" ".join(b), b" ".join(a)], np.array([7, 1, 3]), 5)
-    assert [x.tolist() for x in got] == [[3, 3], [1, 1], [3, 3]]
+    got, bounds = m.first_documents([b" ".join(a), b" ".join(b), b" ".join(a)], np.array([7, 1, 3]), 5)
+    assert (got.tolist(), bounds.tolist()) == ([3, 3, 1, 1, 3, 3], [0, 2, 4, 6])
 
 
 def test_token_counts(odd, empty):
@@ -309,9 +309,12 @@ def test_toxicity(spark, odd, empty):
         return " ".join(w)
     rows = [(i, make(i % 4 == 0)) for i in range(600)]
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
-    texts, toxic = sample(docs, labels)
+    texts, toxic, share = sample(docs, labels)
+    assert abs(share - np.mean(toxic)) < 1e-9
     assert len(texts) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(600))
-    model = fit(texts, toxic)
+    model = fit(texts, toxic, share)
+    rare = fit([t for t, y in zip(texts, toxic, strict=True) if y] + [t for t, y in zip(texts, toxic, strict=True) if not y][:40], [1] * sum(toxic) + [0] * 40, share)
+    assert abs(np.mean([x["score"] for x in classify(docs, rare).collect()]) - share) < 0.15
     held = [x for x in classify(docs, model, 0.5).collect() if zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2]
     assert np.mean([x["predicted"] == (x["doc_id"] % 4 == 0) for x in held]) > 0.95
     got = classify(odd, model).collect()
