@@ -30,6 +30,8 @@ from gridloom.llm import common
 from gridloom.llm.components import components
 
 SEED = 42
+#: Buckets of up to this many nodes are compared side by side.
+SMALL = 16
 
 
 def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
@@ -138,6 +140,26 @@ def spanning_links(fps: np.ndarray, refs: np.ndarray, radius: int) -> list[tuple
     return links
 
 
+def _spanning(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Of pairs of nodes those that join what the ones before haven't joined."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = root[up]
+            i = up
+        return i
+
+    his, los = [], []
+    for i, j in zip(a, b, strict=True):
+        x, y = find(i), find(j)
+        if x != y:
+            root[y] = x
+            his.append(i)
+            los.append(j)
+    return his, los
+
+
 def _link(words: int, pivots: int, radius: int):
     """Rows sorted by (key, cell1, cell2): links of each run."""
     refs = _pivots(pivots, words)
@@ -166,14 +188,27 @@ def _link(words: int, pivots: int, radius: int):
         pick = np.flatnonzero(size > 1)
         if not len(pick):
             return
-        node = b.column(3).to_numpy()
-        fps, his, los = b.column(4), [], []
-        for s, n in zip(new[pick].tolist(), size[pick].tolist(), strict=True):
-            for i, j in spanning_links(_words(fps.slice(s, n), words), refs, radius):
-                his.append(int(node[s + i]))
-                los.append(int(node[s + j]))
-        if his:
-            yield pa.RecordBatch.from_arrays([pa.array(his, pa.int64()), pa.array(los, pa.int64())], ["hi", "lo"])
+        keep = np.repeat(size > 1, size)
+        node, fps = b.column(3).to_numpy()[keep], _words(b.column(4).filter(pa.array(keep)), words)
+        size = size[pick]
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        table = np.stack([_apart(fps, r[None, :]) for r in refs], axis=1)
+        his, los = [], []
+        for n in range(2, SMALL + 1):  # all small buckets of a size at once
+            i, j = np.triu_indices(n, 1)
+            at = first[size == n][:, None]
+            x, y = (at + i).ravel(), (at + j).ravel()
+            near = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= radius
+            x, y = x[near], y[near]
+            near = _apart(fps[x], fps[y]) <= radius
+            his.append(x[near])
+            los.append(y[near])
+        for s, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+            found = np.array(spanning_links(fps[s : s + n], refs, radius), np.int64).reshape(-1, 2)
+            his.append(s + found[:, 0])
+            los.append(s + found[:, 1])
+        hi, lo = _spanning(node[np.concatenate(his)].tolist(), node[np.concatenate(los)].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
 
     return run
 
