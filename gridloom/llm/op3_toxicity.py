@@ -28,7 +28,7 @@ GAINS = (1, 2, 3, 4, 5, 6)
 SHARED_BYTES, OWN_BYTES = 8192, 4096
 LIFT, LEAST_ROWS = 6.0, 5
 #: Bounds of the labelled rows that a model is fitted on.
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 4000, 8000, 40_000_000
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2000, 4000, 12_000_000
 
 
 def _params() -> zs.ZstdCompressionParameters:
