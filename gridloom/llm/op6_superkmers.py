@@ -143,26 +143,37 @@ def _records(window: int, mmer: int, sent):
     return run
 
 
-def first_documents(contents: list[bytes], least: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
-    """For each record the first document of each of its windows, by sorting all windows of a bucket."""
+def first_documents(contents: list[bytes], least: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The first document of each window of all records, and where each record's windows start, with the end.
+
+    All windows are sorted by hash, and those of equal hashes compared as they stand.
+    """
     words = [c.split(b" ") for c in contents]
-    size = np.array([len(w) - window + 1 for w in words])
-    keys = np.concatenate([_runs(_hashes(w), window) for w in words])
+    count = np.array([len(w) for w in words])
+    size = count - window + 1
+    start = np.cumsum(count) - count
+    bounds = np.r_[0, np.cumsum(size)]
     record = np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(keys)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+    place = np.arange(bounds[-1]) - bounds[record]
+    keys = _runs(_hashes([x for w in words for x in w]), window)[start[record] + place]
     out = least[record].copy()
     order = np.argsort(keys, kind="stable")
-    starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-    for a, e in zip(starts.tolist(), np.r_[starts[1:], len(order)].tolist(), strict=True):
-        if e - a == 1:
-            continue
-        same: dict[tuple, list[int]] = {}  # equal hashes are compared word by word
-        for i in order[a:e].tolist():
+    ranked = keys[order]
+    starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    ends = np.r_[starts[1:], len(order)]
+    many = ends - starts > 1
+    edges = [np.r_[0, np.cumsum([len(x) + 1 for x in w])].tolist() for w in words]
+    record, place, order = record.tolist(), place.tolist(), order.tolist()
+    for a, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
+        same: dict[bytes, list[int]] = {}
+        for i in order[a:e]:
             r, p = record[i], place[i]
-            same.setdefault(tuple(words[r][p : p + window]), []).append(i)
+            at = edges[r]
+            same.setdefault(contents[r][at[p] : at[p + window] - 1], []).append(i)
         for group in same.values():
-            out[group] = out[group].min()
-    return np.split(out, np.cumsum(size)[:-1])
+            if len(group) > 1:
+                out[group] = out[group].min()
+    return out, bounds
 
 
 def _buckets(window: int):
@@ -182,17 +193,20 @@ def _buckets(window: int):
 
     def solve(b):
         mh, least, most = (b.column(k).to_numpy() for k in (0, 5, 6))
-        keep, firsts = [], []
-        starts = np.flatnonzero(np.r_[True, mh[1:] != mh[:-1]]) if len(mh) else np.zeros(0, np.int64)
-        for a, e in zip(starts.tolist(), np.r_[starts[1:], len(mh)].tolist() if len(mh) else [], strict=True):
-            if least[a:e].min() == most[a:e].max():
-                continue
-            for i, x in enumerate(first_documents(b.column(4).slice(a, e - a).to_pylist(), least[a:e], window), a):
-                if (x < most[i]).any():
-                    keep.append(i)
-                    firsts.append(x)
-        own = b.take(pa.array(keep, pa.int64()))
-        return pa.RecordBatch.from_arrays([*own.columns[1:4], pa.array(firsts, pa.list_(pa.int64()))], ["ldoc", "lrid", "lidx", "firsts"])
+        if len(mh):
+            starts = np.flatnonzero(np.r_[True, mh[1:] != mh[:-1]])
+            size = np.diff(np.r_[starts, len(mh)])
+            several = np.minimum.reduceat(least, starts) < np.maximum.reduceat(most, starts)
+            at = np.flatnonzero(np.repeat(several, size))
+        else:
+            at = np.zeros(0, np.int64)
+        own = b.take(pa.array(at))
+        if not len(at):
+            return pa.RecordBatch.from_arrays([*own.columns[1:4], pa.array([], pa.list_(pa.int64()))], ["ldoc", "lrid", "lidx", "firsts"])
+        firsts, bounds = first_documents(own.column(4).to_pylist(), least[at], window)
+        earlier = np.add.reduceat(firsts < np.repeat(most[at], np.diff(bounds)), bounds[:-1]) > 0
+        found = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(firsts, pa.int64()))
+        return pa.RecordBatch.from_arrays([*own.columns[1:4], found], ["ldoc", "lrid", "lidx", "firsts"]).filter(pa.array(earlier))
 
     return run
 
