@@ -2,7 +2,7 @@
 
 Each stage takes what the one before kept and is written as Parquet before the next.
 Documents that the toxicity model rejects go; of documents of equal text one stays, as
-of near copies (five-word shingles, similarity about 0.8 or more); sources are mixed to
+of near copies (Jaccard similarity of five-word shingles 0.8 or more); sources are mixed to
 their targets, a document once for each of its copies; and the mix is encoded.
 """
 
@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import common
+from gridloom.llm.jaccard import near_duplicates
 from gridloom.llm.op3_toxicity import classify, fit, sample
 from gridloom.llm.op4_grace_dedup import dedup
-from gridloom.llm.op5_simhash import near_duplicates
 from gridloom.llm.op8_mixing import mix
 from gridloom.llm.op9_sentencepiece import encode_decode
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 REJECT = 0.5
-#: Fingerprints of 4 * 64 bits differ in about 39 of 256 bits at a Jaccard similarity of 0.8.
-NEAR = {"shingle": 5, "words": 4, "radius": 40, "tables": 48}
+#: Least Jaccard similarity of near copies, in percent, and the words of a shingle.
+NEAR = {"shingle": 5, "percent": 80}
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
-    return rows.join(near_duplicates(rows, **NEAR, row="_row").where("kept").select("_row"), "_row", "left_semi").select(*COLUMNS)
+    return rows.join(near_duplicates(rows, "_row", **NEAR).where("kept").select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

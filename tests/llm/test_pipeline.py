@@ -28,3 +28,44 @@ def test_pipeline(spark):
             assert len(out) <= before
     rows = corpus_pipeline.run(spark, SF).count()
     assert rows == len(out)
+
+
+def _sets(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_dedup_equals_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    line = " ".join(word() for _ in range(30))  # a common passage
+    texts = [None, "", " ", "one two", "One  two", "one two three"]
+    for k in range(60):
+        base = [word() for _ in range(r.randint(40, 300))]
+        texts.append(" ".join(base) + " " + line)
+        for _ in range(r.randint(1, 3)):  # changed words: similarities of about 0.6 to 0.95
+            copy = list(base)
+            for _ in range(max(1, int(len(copy) * r.uniform(0.005, 0.05)))):
+                copy[r.randrange(len(copy))] = word()
+            texts.append(" ".join(copy) + (" " + line if k % 2 else ""))
+    group = [word() for _ in range(80)]
+    for _ in range(60):
+        copy = list(group)
+        for _ in range(r.randint(0, 3)):
+            copy[r.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    sets = [_sets(t) for t in texts]
+    label = list(range(len(sets)))
+    near = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                near += 0.8 <= len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) < 0.85
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert near > 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert got == set(label)
