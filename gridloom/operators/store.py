@@ -80,12 +80,13 @@ def toy_model(layers: list[int], hidden: int) -> Model:
     return run
 
 
-def extract(prompts: DataFrame, model: Model, batch: int, width: int, pad: int = 0) -> DataFrame:
+def extract(prompts: DataFrame, model: Model, batch: int, width: int | None = None, pad: int = 0) -> DataFrame:
     """Records of all layers for rows (sample_idx, tokens, text_preview).
 
     The model is any function of a [batch, width] array, so it can be swapped without a
     change here. Short batches are filled with their last row, and what the model gives
-    for that is left out; padding positions are cut off.
+    for that is left out; padding positions are cut off. width: tokens beyond it are
+    dropped; None: nothing is, and each batch is padded to its own longest row.
     """
 
     def run(frames):
@@ -94,7 +95,8 @@ def extract(prompts: DataFrame, model: Model, batch: int, width: int, pad: int =
                 part = f.iloc[at : at + batch]
                 rows = [list(t)[:width] for t in part["tokens"]]
                 full = rows + [rows[-1]] * (batch - len(rows))
-                ids = np.array([r + [pad] * (width - len(r)) for r in full], np.int64)
+                longest = max(map(len, rows)) if width is None else width
+                ids = np.array([r + [pad] * (longest - len(r)) for r in full], np.int64)
                 for layer, values in model(ids).items():
                     kept = [v[: len(r)] for v, r in zip(values, rows, strict=False)]
                     yield pd.DataFrame({"layer": layer, "sample_idx": part["sample_idx"].to_numpy(), "activation": [[list(map(float, x)) for x in v] for v in kept], "shape": [list(v.shape) for v in kept], "text_preview": part["text_preview"].to_numpy()})

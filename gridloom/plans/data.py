@@ -379,8 +379,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 @query("mapinpandas_model")
 def mapinpandas_model(spark: SparkSession, d: str) -> DataFrame:
     """Prompts through the stand-in model, layers 0 and 3, and what its records hold."""
-    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("sample_idx"), tokens.byte_tokens(F.substring("text", 1, 200)).alias("tokens"), F.substring("text", 1, 200).alias("text_preview"))
-    out = store.extract(rows, store.toy_model([0, 3], 8), batch=16, width=128)
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("sample_idx"), tokens.byte_tokens("text").alias("tokens"), F.substring("text", 1, 200).alias("text_preview"))
+    out = store.extract(rows, store.toy_model([0, 3], 8), batch=16)
     return out.select("layer", "sample_idx", F.get("shape", F.lit(0)).alias("seq"), F.round(F.aggregate(_doubles(F.flatten("activation")), F.lit(0.0), lambda a, v: a + v), 3).alias("total"))
 
 

@@ -15,3 +15,17 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
 def test_query_runs(spark, name):
     assert ALL[name](spark, SF).count() > 0
+
+
+def test_model_records_hold_whole_texts(spark):
+    import numpy as np
+
+    want = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        ids = np.array(list(r["text"].encode()))
+        for layer in (0, 3):
+            values = np.sin((ids[:, None] + 1.0) * (layer + 1) * np.arange(1, 9)).astype(np.float32)
+            want[layer, r["item_id"]] = len(ids), values.astype(float).sum()
+    got = {(r["layer"], r["sample_idx"]): (r["seq"], r["total"]) for r in ALL["mapinpandas_model"](spark, SF).collect()}
+    assert got.keys() == want.keys() and max(n for n, _ in want.values()) > 200
+    assert all(got[k][0] == n and abs(got[k][1] - v) < 1e-2 for k, (n, v) in want.items())
