@@ -2,8 +2,10 @@
 
 1. A text is its set of shingles (64-bit hashes of runs of words). Equal sets become one
    node.
-2. Obvious copies are linked first: nodes of equal min-hash bands meet their band's
-   smallest node, one pair for each node and band. This only saves work in step 3.
+2. Obvious copies are linked first: nodes of equal min-hash bands meet a few nodes of
+   their band drawn by hash, and in large bands nodes not yet linked to them meet some
+   more: `CENTRES` pairs at most for each node and band. This only saves work in step 3,
+   where large groups would give pairs with the square of their size.
 3. Shingles have one global order: those frequent in a sample come last, then by hash. Two
    sets of similarity t or more share a shingle among the first n - ceil(t * n) + 1 of each,
    so each of these is a bucket key and no pair is lost, whatever the input's size. Pairs
@@ -27,7 +29,7 @@ from gridloom.llm import common
 from gridloom.llm.components import components
 
 SEED = 42
-BANDS, BAND = 6, 2
+BANDS, BAND, CENTRES = 6, 2, (3, 16)
 #: Rows of the sample that shows frequent shingles; of how many of its texts one must have; and how many are sent at most. They set the order, not the result.
 SAMPLE, FREQUENT, SENT = 20_000, 3, 200_000
 FLUSH = 500_000
@@ -102,7 +104,7 @@ def _describe(size: int, percent: int, sent):
 
 
 def _entries(sent, cell_rows: int):
-    """A row (key, cell, node, comp, n, pos) for each shingle of a node's prefix; of a hot key one for each cell."""
+    """A row (key, node, comp, at: n and pos) for each shingle of a node's prefix; of a hot key one for each cell, with a key of its own."""
 
     def run(batches):
         known, rows = sent.value
@@ -119,26 +121,28 @@ def _entries(sent, cell_rows: int):
             pick = np.repeat(np.arange(len(key)), times)
             t = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
             s = (node[pick].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % times[pick]
-            cell = np.minimum(s, t) * times[pick] + np.maximum(s, t)
+            cell = (np.minimum(s, t) * times[pick] + np.maximum(s, t)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            cell = (key[pick].view(np.uint64) ^ cell).view(np.int64)
             for k in range(0, len(pick), FLUSH):
                 p = pick[k : k + FLUSH]
-                yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(cell[k : k + FLUSH]), pa.array(node[p]), pa.array(comp[p]), pa.array(n[p], pa.int32()), pa.array(pos[p], pa.int32())], ["key", "cell", "node", "comp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[k : k + FLUSH], node[p], comp[p], (n[p].astype(np.int64) << 32) + pos[p])], ["key", "node", "comp", "at"])
 
     return run
 
 
 def _candidates(percent: int):
-    """Rows sorted by (key, cell, n): pairs of different components that can reach the threshold."""
+    """Rows sorted by (key, at): pairs of different components that can reach the threshold."""
 
     def pairs(cols):
-        key, cell, node, comp, n, pos = cols
+        key, node, comp, at = cols
+        n, pos = at >> 32, at & (2**32 - 1)
         active, d, his, los, held = np.arange(len(key)), 0, [], [], 0
         while len(active):
             d += 1
             active = active[active + d < len(key)]
             other = active + d
             # rows of a bucket ascend in n: beyond the first that is too large all are
-            meets = (key[active] == key[other]) & (cell[active] == cell[other]) & (100 * n[active] >= percent * n[other])
+            meets = (key[active] == key[other]) & (100 * n[active] >= percent * n[other])
             active, other = active[meets], other[meets]
             need = -(-percent * (n[active] + n[other]) // (100 + percent))
             rest = np.minimum(n[active] - pos[active], n[other] - pos[other])
@@ -158,16 +162,16 @@ def _candidates(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["hi", "lo"])
 
     def columns(parts):
-        return [np.concatenate([p.column(k).to_numpy() for p in parts]).astype(np.int64) for k in range(6)]
+        return [np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(4)]
 
     def run(batches):
         parts = []
         for b in batches:
             if not b.num_rows:
                 continue
-            last = [b.column(k).to_numpy() for k in (0, 1)]
-            cut = b.num_rows - int(((last[0] == last[0][-1]) & (last[1] == last[1][-1])).sum())
-            if parts and cut == 0 and parts[-1].column(0)[-1] == b.column(0)[0] and parts[-1].column(1)[-1] == b.column(1)[0]:
+            key = b.column(0).to_numpy()
+            cut = b.num_rows - int((key == key[-1]).sum())
+            if parts and cut == 0 and parts[-1].column(0)[-1].as_py() == key[0]:
                 parts.append(b)
                 continue
             yield from pairs(columns([*parts, b.slice(0, cut)]))
@@ -217,13 +221,20 @@ def near_duplicates(docs: DataFrame, row: str, shingle: int = 5, percent: int =
     nodes = common.spool(told.groupBy("digest").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("least")), "jaccard-nodes")
     firsts = told.select(F.col("_row").alias("node"), "n", "bands", "prefix").join(nodes.select("node"), "node", "left_semi")
     bands = firsts.select("node", "n", F.explode("bands").alias("key"))
-    centre = bands.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("of")).where("of > 1")
-    fits = F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")
-    first = bands.join(centre, "key").where((F.col("node") != F.col("c.node")) & fits).select(F.col("node").alias("hi"), F.col("c.node").alias("lo")).distinct()
-    first = common.spool(verified(first, rows, shingle, percent), "jaccard-first")
-    roots = components(first)
-    entries = firsts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "prefix").mapInArrow(_entries(sent, cell_rows), "key long, cell long, node long, comp long, n int, pos int")
-    dealt = entries.repartition(common.partitions(spark), "key", "cell").sortWithinPartitions("key", "cell", "n")
+    found = []
+    for turn, many in enumerate(CENTRES):
+        some = bands if not turn else bands.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("by"), *(x for x in some.columns if x != "key"))) for k in range(many)]
+        least = CENTRES[turn - 1] if turn else 1
+        centres = some.groupBy("key").agg(F.array(*drawn).alias("c"), F.count("*").alias("of")).where(F.col("of") > least).select("key", F.explode("c").alias("c"))
+        fits = F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")
+        apart = F.col("comp") != F.col("c.comp") if turn else F.col("node") != F.col("c.node")
+        some = some.join(centres, "key").where(apart & fits).select(F.greatest("node", "c.node").alias("hi"), F.least("node", "c.node").alias("lo")).distinct()
+        found.append(common.spool(verified(some, rows, shingle, percent), f"jaccard-first-{turn}"))
+        first = common.union(found)
+        roots = components(first)
+    entries = firsts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "prefix").mapInArrow(_entries(sent, cell_rows), "key long, node long, comp long, at long")
+    dealt = entries.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "at")
     pairs = common.spool(dealt.mapInArrow(_candidates(percent), "hi long, lo long").distinct(), "jaccard-pairs")
     links = first.unionByName(verified(pairs, rows, shingle, percent))
     nodes = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
