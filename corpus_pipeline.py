@@ -25,8 +25,8 @@ NEAR = {"shingle": 5, "percent": 80}
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """The rows of a written table with a number each, the same at every read of its files."""
-    return docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    """The rows with a number each, written once: a later scan that is split otherwise would number them otherwise."""
+    return common.spool(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-numbered")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

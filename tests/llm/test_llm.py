@@ -373,3 +373,41 @@ def test_context_tree_weighting(odd, empty):
     assert language_scores(empty, F.lit(False)).count() == 0
     unlearned = language_scores(odd, F.lit(True), depth=depth).where("n_tokens = 1").first()
     assert abs(unlearned["score"] - 8 * math.log10(0.5)) < 1e-6
+
+
+def test_row_numbers_outlive_another_split_of_files(spark, tmp_path):
+    import corpus_pipeline
+    from gridloom.llm import common
+
+    texts = [f"text number {i} " + "x" * (i % 50) for i in range(300)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts + texts[:100])], schema).repartition(9).write.parquet(path)
+    keys = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    out = corpus_pipeline.exact_dedup(spark, spark.read.parquet(path), None)
+    was = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        assert sorted(r["text"] for r in out.collect()) == sorted(texts)
+        spool, calls = common.spool, []
+
+        def turning(*a, **k):  # every second spool scans by other splits
+            calls.append(1)
+            for c, v in (keys if len(calls) % 2 else was).items():
+                spark.conf.set(c, v)
+            return spool(*a, **k)
+
+        from gridloom.llm.op1_ctw import language_scores
+
+        docs = spark.read.parquet(path)
+        want = sorted((r["doc_id"], round(r["score"], 6)) for r in language_scores(docs, F.col("doc_id") % 7 == 2).collect())
+        common.spool = turning
+        try:
+            got = sorted((r["doc_id"], round(r["score"], 6)) for r in language_scores(docs, F.col("doc_id") % 7 == 2).collect())
+        finally:
+            common.spool = spool
+        assert got == want
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
