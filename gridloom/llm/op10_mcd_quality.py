@@ -30,7 +30,8 @@ SUBSET = 0.75
 CONSISTENCY = 1.4866
 #: Variance added to each statistic: most texts have no symbol or repeated line at all, and a group of such has no spread.
 FLOOR = (0.04, 0.25, 0.25, 0.25)
-CUTOFF = 40.0
+#: Fixed value: the 0.999 quantile of chi-square with 4 degrees of freedom, where exp(-x / 2) * (1 + x / 2) is 0.001.
+CUTOFF = 18.4668
 LEAST_GROUP, STEPS, BINS = 60, 4, 64
 X = ("x1", "x2", "x3", "x4")
 

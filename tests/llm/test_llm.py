@@ -375,6 +375,23 @@ def test_context_tree_weighting(odd, empty):
     assert abs(unlearned["score"] - 8 * math.log10(0.5)) < 1e-6
 
 
+def test_moderate_junk_is_rejected(spark):
+    import random
+
+    from gridloom.llm.op10_mcd_quality import CUTOFF, judge
+
+    assert abs(math.exp(-CUTOFF / 2) * (1 + CUTOFF / 2) - 0.001) < 1e-6
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 7)))
+    rows = [(i, " ".join(word() for _ in range(r.randint(60, 300))), "en", "s") for i in range(400)]
+    rows += [(1000 + i, " ".join(word() + ("#" if k % 8 == 0 else "") for k in range(200)), "en", "s") for i in range(10)]  # 12.5 symbols in 100 words
+    line = "a line of six plain words"
+    rows += [(2000 + i, "\n".join(x for k in range(20) for x in (" ".join(word() for _ in range(14)), line if k % 2 else word())), "en", "s") for i in range(10)]
+    got = judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r["doc_id"] for r in got if not r["kept"]} >= {i for i, *_ in rows if i >= 1000}
+    assert sum(not r["kept"] for r in got if r["doc_id"] < 1000) <= 2
+
+
 def test_row_numbers_outlive_another_split_of_files(spark, tmp_path):
     import corpus_pipeline
     from gridloom.llm import common
