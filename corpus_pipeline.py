@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages, each of one training-data operator, over the documents table.
 
 Each stage takes what the one before kept and is written as Parquet before the next.
-Documents that the toxicity model rejects go; of documents of equal text one stays, as
+Documents go whose toxicity reaches the cutoff that the model was calibrated to (`op3_toxicity.CLEAN`); of documents of equal text one stays, as
 of near copies (Jaccard similarity of five-word shingles 0.8 or more); sources are mixed to
 their targets, a document once for each of its copies; and the mix is encoded.
 """
@@ -19,7 +19,6 @@ from gridloom.llm.op8_mixing import mix
 from gridloom.llm.op9_sentencepiece import encode_decode
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-REJECT = 0.5
 #: Least Jaccard similarity of near copies, in percent, and the words of a shingle.
 NEAR = {"shingle": 5, "percent": 80}
 
@@ -31,7 +30,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(*sample(docs, common.table(spark, sf_dir, "labels")))
-    return classify(docs, model, REJECT, carry=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
+    return classify(docs, model, model.cutoff, carry=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
