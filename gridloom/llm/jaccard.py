@@ -2,10 +2,10 @@
 
 1. A text is its set of shingles (64-bit hashes of runs of words). Equal sets become one
    node.
-2. Obvious copies are linked first: nodes of equal min-hash bands meet a few nodes of
-   their band drawn by hash, and in large bands nodes not yet linked to them meet some
-   more: `CENTRES` pairs at most for each node and band. This only saves work in step 3,
-   where large groups would give pairs with the square of their size.
+2. Obvious copies are linked first by SimHash (`op5_simhash.links`): wide fingerprints of
+   the sets, buckets of random bits, pivot distance tables, links that span a bucket; of
+   these only pairs whose whole sets reach the threshold stay. What random bits miss, step 3
+   finds; without step 2 large groups would give it pairs with the square of their size.
 3. Shingles have one global order: those frequent in a sample come last, then by hash. Two
    sets of similarity t or more share a shingle among the first n - ceil(t * n) + 1 of each,
    so each of these is a bucket key and no pair is lost, whatever the input's size. Pairs
@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import common
 from gridloom.llm.components import components
+from gridloom.llm.op5_simhash import finer_samples, links, majority, sampled_keys, shingle_hashes
 
-SEED = 42
-BANDS, BAND, CENTRES = 6, 2, (3, 16)
 #: Rows of the sample that shows frequent shingles; of how many of its texts one must have; and how many are sent at most. They set the order, not the result.
 SAMPLE, FREQUENT, SENT = 20_000, 3, 200_000
 FLUSH = 500_000
@@ -37,15 +37,7 @@ FLUSH = 500_000
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """Distinct shingles' hashes, ascending. A text of under size words is one shingle, of no words none."""
-    norm = b" ".join((text or "").encode().lower().split())
-    if not norm:
-        return np.empty(0, np.uint64)
-    spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
-    n = max(1, len(spaces) + 2 - size)
-    starts = [0, *(spaces[: n - 1] + 1).tolist()]
-    ends = [*spaces[size - 1 :].tolist(), len(norm)] if n > 1 else [len(norm)]
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(norm[s:e], SEED) for s, e in zip(starts, ends, strict=True)]), ">u8").astype(np.uint64))
+    return np.unique(shingle_hashes(text, size))
 
 
 def prefix_length(n, percent: int):
@@ -75,30 +67,19 @@ def _lookup(h: np.ndarray, known: np.ndarray, value: np.ndarray, default: int) -
     return np.where(known[at] == h, value[at], default)
 
 
-def _multipliers() -> np.ndarray:
-    return np.random.default_rng(SEED).integers(0, 2**63, (BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def _describe(size: int, percent: int, sent):
-    by = _multipliers()
-
+def _describe(size: int, percent: int, words: int, sent):
     def run(batches):
         known, rows = sent.value
         for b in batches:
-            digest, n, bands, prefix = [], [], [], []
+            digest, n, fp, prefix = [], [], [], []
             for t in b.column(2):
                 h = shingles(t.as_py(), size)
                 digest.append(xxhash.xxh128_digest(h.tobytes()))
                 n.append(len(h))
-                if not len(h):
-                    bands.append([])
-                    prefix.append([])
-                    continue
-                least = np.concatenate([(h * m).min(keepdims=True) for m in by])
-                bands.append([xxhash.xxh64_intdigest(least[k : k + BAND].tobytes(), k) - 2**63 for k in range(0, len(least), BAND)])
-                prefix.append(h[np.lexsort((h, _lookup(h, known, rows, 0)))[: prefix_length(len(h), percent)]].view(np.int64))
-            cells = [pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], ["_row", "_id", "digest", "n", "bands", "prefix"])
+                fp.append(majority(h, words))
+                prefix.append(h[np.lexsort((h, _lookup(h, known, rows, 0)))[: prefix_length(len(h), percent)]].view(np.int64) if len(h) else [])
+            cells = [pa.array(digest, pa.binary()), pa.array(n, pa.int32()), pa.array(fp, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cells], ["_row", "_id", "digest", "n", "fp", "prefix"])
 
     return run
 
@@ -198,46 +179,42 @@ def _verify(size: int, percent: int):
 
 
 def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (hi, lo) of rows (_row, _text) whose sets of shingles reach the threshold."""
+    """Pairs (hi, lo) of rows (_row, _text) whose sets of shingles reach the threshold. Only texts of those rows move."""
+    pairs = common.spool(pairs, "jaccard-pairs")
+    ids = pairs.select(F.explode(F.array("hi", "lo")).alias("_row")).distinct()
+    rows = rows.join(common.small(ids, "jaccard-verified", common.MOST_IDS), "_row", "left_semi")
     texts = lambda at: rows.select(F.col("_row").alias(at), F.col("_text").alias(f"_{at}"))
     return pairs.join(texts("hi"), "hi").join(texts("lo"), "lo").select("hi", "lo", "_hi", "_lo").mapInArrow(_verify(size, percent), "hi long, lo long")
 
 
-def near_duplicates(docs: DataFrame, row: str, shingle: int = 5, percent: int = 80, cell_rows: int = 32_768, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, row: str, shingle: int = 5, percent: int = 80, cell_rows: int = 32_768, words: int = 4, radius: int = 28, tables: int = 8, pivots: int = 16, bucket_rows: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, component_id, kept, _row), one for each row of docs.
 
     Two rows are linked if the Jaccard similarity of their sets of shingles is percent / 100
     or more; none is missed. component_id: smallest key that links reach; kept: true for one
     row of each component, that of its smallest key (of equal keys, the smallest row). Null
-    texts and texts of no words are one component. Null keys come last. Other columns are
-    ignored; an empty table gives an empty one. row: a column of unique numbers, the same at
-    every read of docs (of a written table). cell_rows: rows of a hot key that meet in one
-    task, about.
+    texts and texts of no words are one component. Null keys come last; others are whole
+    numbers. Other columns are ignored; an empty table gives an empty one. row: a column of
+    unique numbers, the same at every read of docs (of a written table). cell_rows: rows of a
+    hot key that meet in one task, about. words, radius, tables, pivots, bucket_rows: of the
+    fingerprints that link obvious copies; they set the cost, not the result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(row).cast("long").alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     sent = spark.sparkContext.broadcast(_frequent(rows, shingle))
-    told = common.spool(rows.mapInArrow(_describe(shingle, percent, sent), "_row long, _id long, digest binary, n int, bands array<long>, prefix array<long>"), "jaccard")
+    told = common.spool(rows.mapInArrow(_describe(shingle, percent, words, sent), "_row long, _id long, digest binary, n int, fp binary, prefix array<long>"), "jaccard")
     nodes = common.spool(told.groupBy("digest").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("least")), "jaccard-nodes")
-    firsts = told.select(F.col("_row").alias("node"), "n", "bands", "prefix").join(nodes.select("node"), "node", "left_semi")
-    bands = firsts.select("node", "n", F.explode("bands").alias("key"))
-    found = []
-    for turn, many in enumerate(CENTRES):
-        some = bands if not turn else bands.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(k)).alias("by"), *(x for x in some.columns if x != "key"))) for k in range(many)]
-        least = CENTRES[turn - 1] if turn else 1
-        centres = some.groupBy("key").agg(F.array(*drawn).alias("c"), F.count("*").alias("of")).where(F.col("of") > least).select("key", F.explode("c").alias("c"))
-        fits = F.lit(100) * F.least("n", "c.n") >= F.lit(percent) * F.greatest("n", "c.n")
-        apart = F.col("comp") != F.col("c.comp") if turn else F.col("node") != F.col("c.node")
-        some = some.join(centres, "key").where(apart & fits).select(F.greatest("node", "c.node").alias("hi"), F.least("node", "c.node").alias("lo")).distinct()
-        found.append(common.spool(verified(some, rows, shingle, percent), f"jaccard-first-{turn}"))
-        first = common.union(found)
-        roots = components(first)
+    again = told.select("_row", "digest").join(nodes.select("digest", "node"), "digest").where("_row <> node").select("_row")
+    firsts = told.join(common.small(again, "jaccard-again", common.MOST_IDS), "_row", "left_anti").withColumnRenamed("_row", "node")
+    keys = sampled_keys(64 * words, max(16, ceil(log2(nodes.count() + 1)) + 1), tables)
+    close = links(firsts.select("node", "fp"), radius, words, keys, finer_samples(64 * words), pivots, bucket_rows).distinct()
+    first = common.spool(verified(close, rows, shingle, percent), "jaccard-first")
+    roots = components(first)
     entries = firsts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "prefix").mapInArrow(_entries(sent, cell_rows), "key long, node long, comp long, at long")
     dealt = entries.repartition(common.partitions(spark), "key").sortWithinPartitions("key", "at")
-    pairs = common.spool(dealt.mapInArrow(_candidates(percent), "hi long, lo long").distinct(), "jaccard-pairs")
-    links = first.unionByName(verified(pairs, rows, shingle, percent))
-    nodes = nodes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = dealt.mapInArrow(_candidates(percent), "hi long, lo long").distinct()
+    joined = components(first.unionByName(verified(pairs, rows, shingle, percent)))
+    nodes = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("first"))
     named = common.spool(nodes.join(least, "root").select("digest", F.col("first.id").alias("component_id"), F.col("first.row").alias("_stays")), "jaccard-components")
     return told.select("_row", "_id", "digest").join(named, "digest").select(F.col("_id").alias(key), "component_id", (F.col("_row") == F.col("_stays")).alias("kept"), "_row")

@@ -4,21 +4,23 @@
    shingles' hashes. Equal fingerprints become one node.
 2. Nodes are dealt into buckets by bit groups. With `radius` r and one hash word, the
    bits are cut into r + 2 blocks: fingerprints that differ in at most r bits agree in
-   two blocks at least, so each pair of blocks is a bucket key and no link is lost. For
-   wide fingerprints and large radii, keys are `tables` random sets of bits.
+   two blocks at least, so each pair of blocks is a bucket key and no link is lost.
+   Buckets beyond `bucket_rows` are dealt out again by pairs of r + 2 blocks of the bits
+   that their key leaves open, which loses no pair either: after three turns a bucket
+   of 64-bit fingerprints has 8 open bits, so 256 nodes at most.
 3. In a bucket, a table holds each node's Hamming distances to `pivots` reference
    fingerprints. By the triangle inequality two nodes within r differ by at most r in
    each coordinate, so pairs of a larger maximum difference are discarded, and those
    left are verified bit by bit. A bucket gives links that span it, never all its pairs.
-   Buckets beyond `bucket_rows` are dealt out further by bands of two pivot distances
-   (bands of r + 1, each node also in the next band's cell), which loses no pair.
 4. Components of the links give each text's group.
+
+Wide fingerprints have no exact keys of use; `links` takes random ones for callers that
+find what they miss in another way (`gridloom.llm.jaccard`).
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +36,38 @@ SEED = 42
 SMALL = 16
 
 
-def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
-    """8 * words bytes, highest bit first; a text of no words: zeros."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, repeats included; of fewer words one hash, of none no hash."""
     norm = b" ".join((text or "").encode().lower().split())
     if not norm:
-        return bytes(8 * words)
+        return np.empty(0, np.uint64)
     spaces = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)
     n = max(1, len(spaces) + 2 - shingle)
     starts = [0, *(spaces[: n - 1] + 1).tolist()]
     ends = [*spaces[shingle - 1 :].tolist(), len(norm)] if n > 1 else [len(norm)]
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(norm[s:e], SEED) for s, e in zip(starts, ends, strict=True)]), ">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> bytes:
+    """The fingerprint of hashes, 8 * words bytes, highest bit first; of none: zeros. Words after the first are of mixed hashes."""
     out = b""
     for w in range(words):
-        digest, seed = xxhash.xxh64_digest, SEED + w
-        raw = np.frombuffer(b"".join([digest(norm[s:e], seed) for s, e in zip(starts, ends, strict=True)]), np.uint8).reshape(n, 8)
+        with np.errstate(over="ignore"):
+            x = hashes if not w else (hashes ^ (hashes >> np.uint64(31 - w))) * np.uint64(0x9E3779B97F4A7C15 + 2 * w)
+            x = x if not w else x ^ (x >> np.uint64(32))
         ones = np.zeros(64, np.int64)
-        for at in range(0, n, 8192):
-            ones += np.unpackbits(raw[at : at + 8192], axis=1).sum(axis=0, dtype=np.int64)
-        out += np.packbits(2 * ones > n).tobytes()
+        for at in range(0, len(x), 8192):
+            ones += np.unpackbits(x[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out += np.packbits(2 * ones > len(x)).tobytes()
     return out
 
 
+def fingerprint(text: str | None, shingle: int = 3, words: int = 1) -> bytes:
+    """8 * words bytes, highest bit first; a text of no words: zeros."""
+    return majority(shingle_hashes(text, shingle), words)
+
+
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, words: int, row: str | None = None) -> DataFrame:
     rows = docs.select(common.row_number(row).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
 
@@ -64,10 +78,23 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int, words: int,
     return rows.mapInArrow(run, "_row long, _id long, fp binary")
 
 
+def _pairs_of_blocks(bits: list[int], radius: int) -> list[list[int]]:
+    return [np.concatenate(pair).tolist() for pair in combinations(np.array_split(np.array(bits), radius + 2), 2)]
+
+
 def block_keys(radius: int) -> list[list[int]]:
     """Bit positions of each pair of the radius + 2 blocks of 64 bits."""
-    blocks = np.array_split(np.arange(64), radius + 2)
-    return [np.concatenate(pair).tolist() for pair in combinations(blocks, 2)]
+    return _pairs_of_blocks(list(range(64)), radius)
+
+
+def finer_blocks(radius: int):
+    """For a key's bit positions those of the keys that split its bucket; none where too few bits are open."""
+
+    def finer(key: list[int]) -> list[list[int]]:
+        rest = [p for p in range(64) if p not in set(key)]
+        return [key + more for more in _pairs_of_blocks(rest, radius)] if len(rest) >= 2 * (radius + 2) and len(key) < 56 else []
+
+    return finer
 
 
 def sampled_keys(bits: int, width: int, tables: int, seed: int = 5) -> list[list[int]]:
@@ -75,6 +102,16 @@ def sampled_keys(bits: int, width: int, tables: int, seed: int = 5) -> list[list
     return [sorted(draw.choice(bits, width, replace=False).tolist()) for _ in range(tables)]
 
 
+def finer_samples(bits: int, more: int = 12):
+    """One key with more random bits, up to 60."""
+
+    def finer(key: list[int]) -> list[list[int]]:
+        rest = [p for p in range(bits) if p not in set(key)]
+        return [key + np.random.default_rng(len(key)).choice(rest, more, replace=False).tolist()] if len(key) + more <= 60 else []
+
+    return finer
+
+
 def _pivots(n: int, words: int) -> np.ndarray:
     return np.random.default_rng(64).integers(0, 2**64, (n, words), dtype=np.uint64)
 
@@ -88,20 +125,21 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
 
-def _cells(keys: list[list[int]], words: int, pivots: int, radius: int):
-    """A row (key, band, bande, node, fp) for each node and key; bands: of the distances to the first two pivots."""
-    refs = _pivots(pivots, words)[:2]
+def _cells(keys: dict[int, list[list[tuple[int, list[int]]]]], words: int):
+    """A row (path, key, node, fp) for each node (path, node, fp) and key of its path: (path, bit positions)."""
 
     def run(batches):
         for b in batches:
-            fps = _words(b.column(1), words)
-            bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), 8 * words), axis=1)
-            bands = [_apart(fps, r[None, :]) // (radius + 1) for r in refs]
-            for t, at in enumerate(keys):
-                value = np.full(len(fps), t, np.int64)
-                for p in at:
-                    value = (value << 1) | bits[:, p]
-                yield pa.RecordBatch.from_arrays([pa.array(value), *(pa.array(x, pa.int16()) for x in bands), b.column(0), b.column(1)], ["key", "band1", "band2", "node", "fp"])
+            whole = b.column(0).to_numpy()
+            for path in np.unique(whole).tolist():
+                own = b.filter(pa.array(whole == path))
+                fps = _words(own.column(2), words)
+                bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), 8 * words), axis=1)
+                for to, at in keys[path]:
+                    value = np.zeros(len(fps), np.int64)
+                    for p in at:
+                        value = (value << 1) | bits[:, p]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), to, np.int16)), pa.array(value), own.column(1), own.column(2)], ["path", "key", "node", "fp"])
 
     return run
 
@@ -161,35 +199,35 @@ def _spanning(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
 
 
 def _link(words: int, pivots: int, radius: int):
-    """Rows sorted by (key, cell1, cell2): links of each run."""
+    """Rows sorted by (path, key): links of each bucket. A bucket is held until its last row."""
     refs = _pivots(pivots, words)
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            held = b if held is None else pa.concat_batches([held, b])
-            if held.num_rows:
-                k = columns(held)
-                cut = held.num_rows - int(((k[0] == k[0][-1]) & (k[1] == k[1][-1]) & (k[2] == k[2][-1])).sum())
-                yield from group(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield from group(held)
-
-    def columns(b):
-        return [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if not b.num_rows:
+                continue
+            path, key = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cut = b.num_rows - int(((path == path[-1]) & (key == key[-1])).sum())
+            if held and cut == 0 and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) == (path[0], key[0]):
+                held.append(b)
+                continue
+            yield from group(pa.concat_batches([*held, b.slice(0, cut)]))
+            held = [b.slice(cut)]
+        if held:
+            yield from group(pa.concat_batches(held))
 
     def group(b):
         if not b.num_rows:
             return
-        k = columns(b)
-        new = np.flatnonzero(np.r_[True, (k[0][1:] != k[0][:-1]) | (k[1][1:] != k[1][:-1]) | (k[2][1:] != k[2][:-1])])
+        path, key = b.column(0).to_numpy(), b.column(1).to_numpy()
+        new = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (key[1:] != key[:-1])])
         size = np.diff(np.r_[new, b.num_rows])
         pick = np.flatnonzero(size > 1)
         if not len(pick):
             return
         keep = np.repeat(size > 1, size)
-        node, fps = b.column(3).to_numpy()[keep], _words(b.column(4).filter(pa.array(keep)), words)
+        node, fps = b.column(2).to_numpy()[keep], _words(b.column(3).filter(pa.array(keep)), words)
         size = size[pick]
         first = np.r_[0, np.cumsum(size)[:-1]]
         table = np.stack([_apart(fps, r[None, :]) for r in refs], axis=1)
@@ -213,39 +251,53 @@ def _link(words: int, pivots: int, radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int, words: int, keys: list[list[int]], pivots: int, bucket_rows: int) -> DataFrame:
-    """(hi, lo): links between nodes (node, fp) within radius that span each bucket."""
-    cells = nodes.select("node", "fp").mapInArrow(_cells(keys, words, pivots, radius), "key long, band1 short, band2 short, node long, fp binary")
-    hot = common.spool(cells.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.lit(1).alias("hot")), "hot-buckets")
-    zero = F.array(F.lit(0).cast("short"))
-    if hot.take(1):
-        cells = cells.join(hot, "key", "left")
-        for c in ("1", "2"):
-            band = F.col(f"band{c}")
-            cells = cells.withColumn(f"cell{c}", F.explode(F.when(F.col("hot") == 1, F.array(band, (band + 1).cast("short"))).otherwise(zero)))
-    else:
-        cells = cells.withColumn("cell1", F.lit(0).cast("short")).withColumn("cell2", F.lit(0).cast("short"))
-    dealt = cells.select("key", "cell1", "cell2", "node", "fp").repartition(common.partitions(nodes.sparkSession), "key", "cell1", "cell2").sortWithinPartitions("key", "cell1", "cell2")
+def links(nodes: DataFrame, radius: int, words: int, keys: list[list[int]], finer, pivots: int, bucket_rows: int) -> DataFrame:
+    """(hi, lo): links between nodes (node, fp) within radius that span each bucket.
+
+    finer: the keys that split a bucket of more than bucket_rows. What they can't split
+    is dealt out by node, each share with the bucket's least node.
+    """
+    columns = "path short, key long, node long, fp binary"
+    rows, paths, last, done = nodes.select(F.lit(0).cast("short").alias("path"), "node", "fp"), {0: [(k, at) for k, at in enumerate(keys)]}, len(keys), []
+    while True:
+        cells = rows.mapInArrow(_cells(paths, words), columns)
+        counted = cells.groupBy("path", "key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fp")).alias("least"))
+        hot = common.small(counted.where(F.col("n") > bucket_rows), "hot-buckets")
+        if not hot.take(1):
+            done.append(cells)
+            break
+        done.append(cells.join(hot, ["path", "key"], "left_anti"))
+        held, was = cells.join(hot, ["path", "key"]), [x for own in paths.values() for x in own]
+        paths = {}
+        for path, at in was:
+            paths[path] = [(last + k, more) for k, more in enumerate(finer(at))]
+            last += len(paths[path])
+        if not any(paths.values()):
+            shares = F.ceil(F.col("n") / bucket_rows)
+            own = held.withColumn("_share", F.pmod(F.xxhash64("node"), shares)).select("path", "key", "_share", "node", "fp")
+            least = hot.select("path", "key", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("_share"), "least.node", "least.fp")
+            done.append(own.unionByName(least).distinct().select("path", F.xxhash64("key", "_share").alias("key"), "node", "fp"))
+            break
+        rows = common.spool(held.select("path", "node", "fp"), "hot-nodes")
+    dealt = common.union(done).repartition(common.partitions(nodes.sparkSession), "path", "key").sortWithinPartitions("path", "key")
     return dealt.mapInArrow(_link(words, pivots, radius), "hi long, lo long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, tables: int = 0, pivots: int = 16, bucket_rows: int = 4096, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, pivots: int = 16, bucket_rows: int = 4096, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Rows (key, fingerprint, component_id, kept, _row), one for each row of docs.
 
     fingerprint: hex; component_id: smallest key that links reach; kept: true for one
     row of each component, that of its smallest key (of equal keys, the first read). Null
     texts and texts of no words have fingerprint zero and link like any other. Null keys
-    come last. Repeated rows are one node. Other columns of docs are ignored; an empty
-    table gives an empty one. tables = 0: exact block keys (one word only); else that
-    many random keys of log2(nodes) + 1 bits, at least 16. row: a column of unique
-    numbers, returned as _row; by default one is made.
+    come last. Repeated rows are one node. The key is a whole number or null. Other
+    columns of docs are ignored; an empty table gives an empty one. row: a column of
+    unique numbers, returned as _row; by default one is made.
     """
-    rows = common.spool(fingerprints(docs, key, text, shingle, words, row), "simhash")
+    if radius > 6:
+        raise ValueError("block keys need a small radius")
+    rows = common.spool(fingerprints(docs, key, text, shingle, 1, row), "simhash")
     nodes = common.spool(rows.groupBy("fp").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("least")), "simhash-nodes")
-    if not tables and (words > 1 or radius > 6):
-        raise ValueError("block keys need one hash word and a small radius; give tables")
-    keys = sampled_keys(64 * words, max(16, ceil(log2(nodes.count() + 1)) + 1), tables) if tables else block_keys(radius)
-    roots = components(links(nodes, radius, words, keys, pivots, bucket_rows))
+    roots = components(links(nodes, radius, 1, block_keys(radius), finer_blocks(radius), pivots, bucket_rows))
     nodes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("first"))
     named = common.spool(nodes.join(least, "root").select("fp", F.col("first.id").alias("component_id"), F.col("first.row").alias("_stays")), "simhash-components")
