@@ -33,14 +33,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return classify(docs, model, model.cutoff, carry=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
 
 
+def _without(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """rows less those that aren't kept; their numbers are sent to all tasks if they are few enough, so that texts stay in place."""
+    gone = common.small(judged.where("not kept").select("_row"), "pipeline-dropped", common.MOST_IDS)
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _numbered(docs)
-    return rows.join(dedup(rows, row="_row").where("kept").select("_row"), "_row", "left_semi").select(*COLUMNS)
+    return _without(rows, dedup(rows, row="_row"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash links obvious copies; an exact join of shingles adds what random bits miss (`jaccard`)."""
     rows = _numbered(docs)
-    return rows.join(near_duplicates(rows, "_row", **NEAR).where("kept").select("_row"), "_row", "left_semi").select(*COLUMNS)
+    return _without(rows, near_duplicates(rows, "_row", **NEAR))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
