@@ -44,6 +44,7 @@ TAIL = bytes(range(128, 192))
 #: Bounds of the labelled rows that a model is fitted on.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_CHARS = 2000, 2000, 16_000_000
 BLOCK = 50_000
+KNOWN = 300_000
 
 
 def _params() -> zs.ZstdCompressionParameters:
@@ -69,6 +70,9 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def windows_of(words: list[bytes], window: int = WINDOW) -> list[bytes]:
+    if window == 2:
+        both = [b" %b %b " % x for x in zip(words[::2], words[1::2], strict=False)]
+        return both + [b" " + words[-1] + b" "] if len(words) % 2 else both
     return [b" " + b" ".join(words[i : i + window]) + b" " for i in range(0, len(words), window)]
 
 
@@ -91,18 +95,27 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(len(GAINS) + 2))
     cutoff: float = 0.5
     _packers: tuple | None = None
+    _gains: dict[bytes, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"_packers": None}
+        return self.__dict__ | {"_packers": None, "_gains": {}}
 
-    def reached(self, texts: list[list[bytes]]) -> np.ndarray:
-        """A row for each text, of all its windows: how many reach each of GAINS, and how many there are."""
+    def gains(self, windows: list[bytes]) -> np.ndarray:
+        """Of each window. Equal ones are compressed once while the table of them holds at most KNOWN."""
         if self._packers is None:
             self._packers = _compressor(self.ordinary), _compressor(self.toxic)
+        if len(self._gains) > KNOWN:
+            self._gains = {}
+        new = [x for x in dict.fromkeys(windows) if x not in self._gains]
+        self._gains |= zip(new, (_lengths(self._packers[0], new) - _lengths(self._packers[1], new)).tolist(), strict=True)
+        return np.fromiter(map(self._gains.__getitem__, windows), np.int64, len(windows))
+
+    def reached(self, texts: list[list[bytes]]) -> np.ndarray:
+        """A row for each text, of all its windows: how many reach each of GAINS, and how many there are."""
         each = [windows_of(w, self.window) for w in texts]
         size = np.array([len(w) for w in each], np.int64)
         flat = [x for w in each for x in w]
-        gain = _lengths(self._packers[0], flat) - _lengths(self._packers[1], flat)
+        gain = self.gains(flat)
         text = np.repeat(np.arange(len(texts)), size)
         return np.stack([*(np.bincount(text[gain >= k], minlength=len(texts)) for k in GAINS), size], axis=1).astype(float)
 
@@ -230,7 +243,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "
             for t in b.column(0):
                 held.append(_words(t.as_py()))
                 chars += sum(map(len, held[-1]))
-                if chars > 1_000_000:
+                if chars > 2_000_000:
                     scores += own.score(held).tolist()
                     held, chars = [], 0
             scores += own.score(held).tolist() if held else []
