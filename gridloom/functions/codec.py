@@ -75,8 +75,8 @@ class Shape:
     inner: object
 
     def to_text(self, g: Column) -> Column:
-        size = F.concat_ws("x", grid.height(g).cast("string"), grid.width(g).cast("string"))
-        return F.concat(F.lit(f"{FENCE}grid shape: "), size, F.lit("\n"), self.inner.to_text(g), F.lit(f"\n{FENCE}"))
+        size = lambda x: F.concat_ws("x", grid.height(x).cast("string"), grid.width(x).cast("string"))
+        return grid.bound(g, lambda x: F.concat(F.lit(f"{FENCE}grid shape: "), size(x), F.lit("\n"), self.inner.to_text(x), F.lit(f"\n{FENCE}")))
 
     def to_grid(self, t: Column) -> Column:
         """The lines from the first header on, without repeated headers, up to a closing fence or the end; null without a header."""
@@ -138,4 +138,4 @@ def parse(spec: str):
 def parsed_or_empty(codec, t: Column, revert=lambda g: g) -> Column:
     """The grid of a response that continues "```grid", reverted; an empty one where anything fails."""
     g = revert(codec.to_grid(F.concat(F.lit(f"{FENCE}grid"), t)))
-    return F.when(grid.is_valid(g), g).otherwise(F.array().cast(grid.GRID))
+    return grid.bound(g, lambda x: F.when(grid.is_valid(x), x).otherwise(F.array().cast(grid.GRID)))

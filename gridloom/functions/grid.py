@@ -28,18 +28,25 @@ def hflip(g: Column) -> Column:
     return F.transform(g, F.reverse)
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def transposed(g: Column) -> Column:
+    """Columns as rows; cells that a ragged grid lacks are null."""
+    return F.transform(_upto(width(g)), lambda i: F.transform(g, lambda r: F.get(r, i)))
+
+
 def rot90(g: Column, k: int | Column) -> Column:
     """k quarter turns counter-clockwise; negative k turns back."""
     if isinstance(k, Column):
         k = F.pmod(k, F.lit(4))
-        return F.when(k == 1, rot90(g, 1)).when(k == 2, rot90(g, 2)).when(k == 3, rot90(g, 3)).otherwise(g)
+        return bound(g, lambda x: F.when(k == 1, F.reverse(transposed(x))).when(k == 2, F.reverse(hflip(x))).when(k == 3, transposed(F.reverse(x))).otherwise(x))
     k %= 4
     if k == 0:
         return g
-    if k == 2:
-        return F.reverse(hflip(g))
-    cell = (lambda i, j: F.get(F.get(g, j), width(g) - 1 - i)) if k == 1 else (lambda i, j: F.get(F.get(g, height(g) - 1 - j), i))
-    return F.transform(_upto(width(g)), lambda i: F.transform(_upto(height(g)), lambda j: cell(i, j)))
+    return bound(g, lambda x: (F.reverse(transposed(x)), F.reverse(hflip(x)), transposed(F.reverse(x)))[k - 1])
 
 
 def geometric(g: Column, flip: Column, turns: int | Column) -> Column:
@@ -49,8 +56,7 @@ def geometric(g: Column, flip: Column, turns: int | Column) -> Column:
 
 def revert_geometric(g: Column, flip: Column, turns: int | Column) -> Column:
     """Turn back, then flip."""
-    back = rot90(g, -turns)
-    return F.when(flip, hflip(back)).otherwise(back)
+    return bound(rot90(g, -turns), lambda back: F.when(flip, hflip(back)).otherwise(back))
 
 
 def cells(g: Column, f) -> Column:
@@ -107,9 +113,8 @@ def is_valid(g: Column) -> Column:
 
 def parse_cells(g: Column) -> Column:
     """Cells of array<array<string>> as whole numbers: decimals are cut, true and false are 1 and 0; null if one can't be read."""
-    cell = lambda c: F.when(F.lower(c) == "true", 1).when(F.lower(c) == "false", 0).otherwise(c.try_cast("double").cast("int"))
-    out = cells(g, cell)
-    return F.when(~F.exists(out, lambda r: F.coalesce(F.exists(r, lambda c: c.isNull()), F.lit(True))), out)
+    cell = lambda c: F.coalesce(c.try_cast("double").cast("int"), F.when(F.lower(c) == "true", 1).when(F.lower(c) == "false", 0))
+    return bound(cells(g, cell), lambda out: F.when(~F.exists(out, lambda r: F.coalesce(F.exists(r, lambda c: c.isNull()), F.lit(True))), out))
 
 
 def max_shape(samples: Column, *targets: str) -> Column:

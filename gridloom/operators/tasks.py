@@ -18,17 +18,28 @@ def convert(rows: DataFrame, examples: str = "examples", idx: str = "idx") -> Da
     output is left out. A pair that isn't two readable grids is dropped; a task goes
     where that leaves no training pair or no test. reject: null, or why the task goes.
     """
-    raw = F.from_json(F.col(examples), RAW)
+    rows = rows.withColumn("_raw", grid.bound(F.from_json(F.col(examples), RAW), _converted))
+    part = lambda c: F.col(f"_raw.{c}").alias(c)
+    reject = F.when(F.col(examples).isNull(), "missing").otherwise(F.col("_raw.reject"))
+    return rows.select(*(F.col(c) for c in rows.columns if c != "_raw"), part("train"), part("test"), task_id_of(F.col(idx)).alias("task_id"), reject.alias("reject"))
+
+
+def _converted(raw: Column) -> Column:
+    """(train, test, reject) of a list of pairs of grids of strings."""
     pair = lambda p: F.struct(grid.parse_cells(F.get(p, F.lit(0))).alias("input"), grid.parse_cells(F.get(p, F.lit(1))).alias("output"))
     whole = lambda s: s["input"].isNotNull() & s["output"].isNotNull()
-    rows = rows.withColumn("_raw", raw).withColumn("_n", F.coalesce(F.size("_raw"), F.lit(-1)))
-    pairs = F.transform(F.filter(F.slice("_raw", F.lit(1), F.greatest(F.col("_n") - 1, F.lit(0))), lambda p: F.size(p) == 2), pair)
-    rows = rows.withColumn("train", F.filter(pairs, whole))
-    last = F.element_at("_raw", -1)
-    test = F.when((F.col("_n") >= 2) & (F.size(last) >= 1), grid.parse_cells(F.get(last, F.lit(0))))
-    rows = rows.withColumn("test", F.when(test.isNotNull(), F.array(F.struct(test.alias("input"), F.lit(None).cast(grid.GRID).alias("output")))))
-    reject = F.when(F.col(examples).isNull(), "missing").when(F.col("_n") < 0, "unreadable").when(F.col("_n") < 2, "too few pairs").when(F.size("train") < 1, "no training pair").when(F.col("test").isNull(), "bad test")
-    return rows.withColumn("task_id", task_id_of(F.col(idx))).withColumn("reject", reject).drop("_raw", "_n")
+    n = F.coalesce(F.size(raw), F.lit(-1))
+    train = F.filter(F.transform(F.filter(F.slice(raw, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda p: F.size(p) == 2), pair), whole)
+    last = F.element_at(raw, -1)
+    test = F.when((n >= 2) & (F.size(last) >= 1), grid.parse_cells(F.get(last, F.lit(0))))
+
+    def judged(x: Column) -> Column:
+        test = x["test"]
+        reject = F.when(n < 0, "unreadable").when(n < 2, "too few pairs").when(F.size(x["train"]) < 1, "no training pair").when(test.isNull(), "bad test")
+        one = F.when(test.isNotNull(), F.array(F.struct(test.alias("input"), F.lit(None).cast(grid.GRID).alias("output"))))
+        return F.struct(x["train"].alias("train"), one.alias("test"), reject.alias("reject"))
+
+    return grid.bound(F.struct(train.alias("train"), test.alias("test")), judged)
 
 
 def augmentations(tasks: DataFrame) -> DataFrame:

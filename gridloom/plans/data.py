@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +9,7 @@ from gridloom.functions import grid, tokens
 from gridloom.operators import control, metrics, partition, store
 from gridloom.operators import tasks as ops
 from gridloom.plans import sql
-from gridloom.sources import jsonl
+from gridloom.sources import jsonl, shared
 from gridloom.sources.tables import derived_grid, table
 from gridloom.streaming import ingest as streams
 
@@ -363,19 +360,11 @@ def store_batch_join(spark: SparkSession, d: str) -> DataFrame:
 @query("store_roundtrip", "SELECT label AS layer, count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings WHERE label IN (1, 4) GROUP BY label")
 def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Written by layer, and two layers read back."""
-    at = scratch(spark, "store")
+    at = shared.fresh(spark, "store")
     store.write(records(spark, d), at)
     return store.read(spark, at, [1, 4]).groupBy("layer").agg(F.count("*").alias("n"), F.sum("sample_idx").alias("ids"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one of the cluster, or a local one where none is set."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="gridloom-")).as_uri()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("mapinpandas_model")
 def mapinpandas_model(spark: SparkSession, d: str) -> DataFrame:
     """Prompts through the stand-in model, layers 0 and 3, and what its records hold."""
@@ -461,7 +450,7 @@ def attempts_pivot(spark: SparkSession, d: str) -> DataFrame:
     return metrics.attempts(results(spark, d)).groupBy("task_id", "test_idx").pivot("attempt", ["attempt_1", "attempt_2"]).agg(F.max("grid"))
 
 
-@query("solutions_left_outer", f"WITH {ATT}, t AS (SELECT DISTINCT 't' || o_orderkey AS task_id, x.test_idx FROM orders, (VALUES (0), (1)) x(test_idx)), s AS (SELECT task_id, test_idx, string_agg(attempt || '=' || grid, ';' ORDER BY attempt) AS solution FROM a1 GROUP BY ALL) SELECT t.task_id, t.test_idx::INT AS test_idx, coalesce(solution, '') AS solution FROM t LEFT JOIN s USING (task_id, test_idx)")
+@query("solutions_left_outer", f"WITH {ATT}, t AS (SELECT DISTINCT 't' || o_orderkey AS task_id, x.test_idx FROM orders, (VALUES (0), (1)) x(test_idx)), s AS (SELECT task_id, test_idx, string_agg(attempt || '=' || grid, ';' ORDER BY sample_idx) AS solution FROM a1 GROUP BY ALL) SELECT t.task_id, t.test_idx::INT AS test_idx, coalesce(solution, '') AS solution FROM t LEFT JOIN s USING (task_id, test_idx)")
 def solutions_left_outer(spark: SparkSession, d: str) -> DataFrame:
     tests = table(spark, d, "orders").select(F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("task_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("test_idx"))
     own = metrics.solutions(tests, results(spark, d))
@@ -519,7 +508,7 @@ def dataset_statistics(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_available_now_ingest", "SELECT event_type, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE event_type <> 'error' GROUP BY event_type")
 def stream_available_now_ingest(spark: SparkSession, d: str) -> DataFrame:
     """All events through a stream that ends when it has caught up, run twice: the second finds nothing new."""
-    schema, out, done = table(spark, d, "events").schema, scratch(spark, "stream"), scratch(spark, "stream-checkpoint")
+    schema, out, done = table(spark, d, "events").schema, shared.fresh(spark, "stream"), shared.fresh(spark, "stream-checkpoint")
     inside = len(table(spark, d, "events").inputFiles()) == 1 and table(spark, d, "events").inputFiles()[0].endswith("/events.parquet")
     source, pattern = (d, "events.parquet") if inside else (f"{d}/events.parquet", None)
     for _ in range(2):

@@ -10,9 +10,10 @@ from gridloom.operators.partition import global_index, task_id_of
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(line_idx, file, line): lines of text files numbered over all files in the order of their names."""
-    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_at"))
-    return global_index(read, "file", "_at", to="line_idx").select("line_idx", "file", F.col("value").alias("line"))
+    """(line_idx, file, line): lines of text files numbered over all files in the order of their names; no files or empty ones give no rows."""
+    at = F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")  # a file's splits can be read in any order
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), *at)
+    return global_index(read, "file", "_start", "_at", to="line_idx").select("line_idx", "file", F.col("value").alias("line"))
 
 
 def parsed_tasks(rows: DataFrame, line: str = "line") -> DataFrame:

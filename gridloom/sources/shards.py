@@ -27,5 +27,6 @@ def write(tasks: DataFrame, path: str, shards: int, chunk_bytes: int, idx: str =
 
 def read(spark: SparkSession, path: str, shard: int) -> DataFrame:
     """The tasks of one shard; its folder alone is read."""
-    lines = spark.read.text(f"{path}/data").where(F.col("shard") == shard).select("chunk", F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
-    return jsonl.unique_ids(jsonl.parsed_tasks(partition.global_index(lines, "chunk", "_at", to="line_idx")))
+    at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")
+    lines = spark.read.text(f"{path}/data").where(F.col("shard") == shard).select("chunk", *at, F.col("value").alias("line"))
+    return jsonl.unique_ids(jsonl.parsed_tasks(partition.global_index(lines, "chunk", "_file", "_start", "_at", to="line_idx").drop("_file", "_start", "_at")))

@@ -134,3 +134,65 @@ def test_extraction_keeps_rows_of_short_batches(spark):
     got = store.extract(rows.coalesce(1), store.toy_model([1, 2], 4), batch=3, width=4).collect()
     assert len(got) == 10
     assert {tuple(r["shape"]) for r in got} == {(min(i + 1, 4), 4) for i in range(5)}
+
+
+def test_global_index_with_payload_on_many_rows(spark):
+    n = 400_000
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), (F.col("id") % 30).cast("int")).alias("payload"), F.col("id"))
+    got = partition.global_index(rows, "k", buckets=8)
+    assert got.agg(F.count("*"), F.countDistinct("idx"), F.min("idx"), F.max("idx"), F.count_if(F.col("idx") == F.col("k"))).first() == (n, n, 0, n - 1, n)
+    assert got.where(F.length("payload") != F.col("id") % 30).count() == 0
+    assert partition.global_index(rows.limit(0), "k").count() == 0
+    odd = spark.createDataFrame([(None, 1), (2, 1), (None, 2)], "a int, b int")
+    assert [(r["a"], r["b"]) for r in partition.global_index(odd, "a", "b").orderBy("idx").collect()] == [(None, 1), (None, 2), (2, 1)]
+
+
+def test_lines_are_numbered_in_file_order(spark, tmp_path):
+    want = []
+    for f in range(3):
+        own = [f"{f}-{i} " + "y" * (i % 90) for i in range(4000)]
+        (tmp_path / f"part{f}.txt").write_text("\n".join(own) + "\n")
+        want += own
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")  # many splits a file
+    try:
+        got = jsonl.lines(spark, str(tmp_path)).orderBy("line_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [r["line_idx"] for r in got] == list(range(len(want)))
+    assert [r["line"] for r in got] == want
+
+
+def test_packing_odd_rows(spark):
+    rows = spark.createDataFrame([(None, 1, 50), (None, 2, 60), ("a", 1, None), ("a", 2, 500), ("a", 3, 1)], "k string, i int, n int")
+    got = {(r["k"], r["i"]): r["pack"] for r in partition.pack(rows, "k", "i", F.col("n"), 100).collect()}
+    assert got == {(None, 1): 0, (None, 2): 1, ("a", 1): 0, ("a", 2): 0, ("a", 3): 1}
+    assert partition.pack(rows.limit(0), "k", "i", F.col("n"), 100).count() == 0
+
+
+def test_transitions_equal_the_loop(spark):
+    r = random.Random(2)
+    log = [(s, i, r.choice(["claim", "claim", "complete", "fail", "look", None])) for s in range(40) for i in range(r.randint(1, 25))]
+    got = {(x["s"], x["i"]): (x["before"], x["after"]) for x in control.transitions(spark.createDataFrame(log, "s int, i int, action string"), "s", "i").collect()}
+    state: dict = {}
+    for s, i, a in log:
+        was = state.get(s, "available")
+        now = {("available", "claim"): "in_use", ("in_use", "complete"): "completed", ("in_use", "fail"): "available"}.get((was, a), was)
+        assert got[s, i] == (was, now)
+        state[s] = now
+
+
+def test_solutions_are_in_order_of_attempts(spark):
+    from gridloom.operators import metrics
+
+    tests = spark.createDataFrame([("t", 0), ("t", 1)], "task_id string, test_idx int")
+    results = spark.createDataFrame([("t", 0, i, f"g{i}") for i in range(12)], "task_id string, test_idx int, sample_idx int, grid string")
+    got = {r["test_idx"]: [tuple(e) for e in r["e"]] for r in metrics.solutions(tests, results).select("test_idx", F.map_entries("solution").alias("e")).collect()}
+    assert got == {0: [(f"attempt_{i + 1}", f"g{i}") for i in range(12)], 1: []}
+    assert [len(r["solution"]) for r in metrics.solutions(tests, results, 2).where("test_idx = 0").collect()] == [2]
+
+
+def test_conversion_reads_json_once(spark):
+    rows = spark.createDataFrame([(5, "[[[[1]],[[2]]],[[[3]],[[4]]]]")], "idx long, examples string")
+    plan = tasks.convert(rows).where("reject is null").select("train", "test", "task_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 2  # in the filter and in the result
