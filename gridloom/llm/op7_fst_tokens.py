@@ -12,7 +12,10 @@ transitions are compiled as texts need them and kept for a worker's later batche
 Texts are cut into chunks of equal length that run side by side. What follows a chunk's
 first pre-token end doesn't depend on the state it is entered in, so its state map is
 one exit state and one count, but for the head before that end. Heads run next, from the
-exit state of the chunk before, and counts are summed by document.
+exit state of the chunk before. Chunks inside one long pre-token get whole state maps:
+entry states are guessed (the exit of the chunk before, run from the start), what a guess
+leads to is added to the next chunk's map until nothing new comes, and the maps compose
+through a parallel prefix scan (by doubling). Counts are summed by document.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ TOKENIZER = "word_bpe_49k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 CHUNK = 512
+#: Entry states in a chunk's map; chunks that are entered in another one run again after the scan.
+MAP_STATES = 32
 MAX_STATES = 100_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 _loaded: dict = {}
@@ -168,6 +173,43 @@ class Transducer:
         back[order] = np.arange(len(order))
         return state[back] // self.width, count[back]
 
+    def scan(self, cols: np.ndarray, at: np.ndarray, length: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Counts of chunks in order, each entered in the exit state of the one before, or in `entry` where that isn't -1."""
+        n, first = len(at), entry >= 0
+        guess, _ = self.run(cols, at, length, np.zeros(n, np.int32))
+        enter = np.where(first, entry, np.r_[0, guess[:-1]])[:, None].astype(np.int64)
+        leave, counts = (x[:, None].astype(np.int64) for x in self.run(cols, at, length, enter[:, 0].astype(np.int32)))
+        while enter.shape[1] < MAP_STATES:
+            came = np.r_[leave[:1], leave[:-1]]  # what the chunk before can leave
+            new = (came >= 0) & ~first[:, None] & ~(came[:, :, None] == enter[:, None, :]).any(axis=2)
+            rows = np.flatnonzero(new.any(axis=1))
+            if not len(rows):
+                break
+            state = came[rows, new[rows].argmax(axis=1)]
+            more = np.full((3, n), -1, np.int64)
+            more[0, rows] = state
+            more[1, rows], more[2, rows] = self.run(cols, at[rows], length[rows], state.astype(np.int32))
+            enter, leave, counts = (np.c_[x, y] for x, y in zip((enter, leave, counts), more, strict=True))
+        # each chunk's map from its place among the entries of the chunk before to its own; of a first chunk to its entry
+        came = np.r_[leave[:1], leave[:-1]]
+        hit = (came[:, :, None] == enter[:, None, :]) & (came >= 0)[:, :, None]
+        place = np.where(hit.any(axis=2), hit.argmax(axis=2), -1)
+        place[first] = 0
+        step, fixed = 1, first.copy()
+        while not fixed.all() and step < n:
+            before = np.r_[np.zeros((step, place.shape[1]), np.int64), place[:-step]]
+            joined = np.take_along_axis(place, np.maximum(before, 0), axis=1)
+            joined[before < 0] = -1
+            place = np.where(fixed[:, None], place, joined)
+            fixed |= np.r_[np.ones(step, bool), fixed[:-step]]
+            step *= 2
+        own = place[:, 0]
+        out, state = np.where(own >= 0, counts[np.arange(n), own], 0), leave[np.arange(n), np.maximum(own, 0)]
+        for i in np.flatnonzero(own < 0).tolist():  # its map lacks the state: it runs from there
+            left, more = self.run(cols, at[i : i + 1], length[i : i + 1], state[i - 1 : i].astype(np.int32))
+            state[i], out[i] = left[0], more[0]
+        return out
+
     def compile(self, keys: np.ndarray) -> None:
         for key in np.unique(keys).tolist():
             to, emitted = self.step(key // self.width, self.symbols[key % self.width])
@@ -233,14 +275,14 @@ class Transducer:
         exits, count = self.run(cols, at + head, length - head, np.zeros(len(at), np.int32))
         exits = exits.copy()
         known = closed | (inside == 0)
-        todo = np.flatnonzero(inside > 0)
-        while len(todo):  # a chunk inside one long pre-token waits for the one before it
-            now = todo[known[todo - 1]]
-            left, more = self.run(cols, at[now], head[now], exits[now - 1])
-            count[now] += more
-            exits[now] = np.where(closed[now], exits[now], left)
-            known[now] = True
-            todo = todo[~np.isin(todo, now)]
+        now = np.flatnonzero((inside > 0) & known[np.arange(len(inside)) - 1])
+        left, more = self.run(cols, at[now], head[now], exits[now - 1])
+        count[now] += more
+        exits[now] = np.where(closed[now], exits[now], left)
+        known[now] = True
+        todo = np.setdiff1d(np.flatnonzero(inside > 0), now)  # inside one long pre-token
+        if len(todo):
+            count[todo] += self.scan(cols, at[todo], head[todo], np.where(known[todo - 1], exits[todo - 1], -1))
         return np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64) + np.array(special, np.int64)
 
 

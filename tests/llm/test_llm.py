@@ -428,3 +428,21 @@ def test_row_numbers_outlive_another_split_of_files(spark, tmp_path):
     finally:
         for k, v in was.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("most", [32, 1])
+def test_state_maps_compose(monkeypatch, most):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gridloom.llm import op7_fst_tokens as m
+
+    monkeypatch.setattr(m, "MAP_STATES", most)
+    monkeypatch.setattr(m, "CHUNK", 16)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(5)
+    texts = ["a" * 1000, "ab" * 700 + " c", "hello" * 300, "x" * 90 + " " + "lorem ipsum " * 9 + "z" * 200, "".join(r.choice("aeinrst") for _ in range(3000)), "é漢" * 300, "", "b" * 17]
+    lib, fst = Tokenizer.from_file(path), m.Transducer(path)
+    assert fst.counts(texts).tolist() == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
