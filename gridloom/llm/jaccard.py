@@ -31,7 +31,7 @@ from gridloom.llm.components import components
 from gridloom.llm.op5_simhash import finer_samples, links, majority, sampled_keys, shingle_hashes
 
 #: Rows of the sample that shows frequent shingles; of how many of its texts one must have; and how many are sent at most. They set the order, not the result.
-SAMPLE, FREQUENT, SENT = 20_000, 3, 200_000
+SAMPLE, FREQUENT, SENT = 50_000, 3, 200_000
 FLUSH = 500_000
 
 

@@ -12,7 +12,8 @@ A window's gain is what the toxic dictionary saves against the ordinary one.
    `KEEP` bytes or more. What only one text holds gains nothing from the others' dictionary.
 3. Thresholds on gains are calibrated by rows that the dictionaries haven't seen: for each
    threshold the share of ordinary windows that pass it, and a logistic regression on how
-   far a text's windows exceed those shares.
+   far a text's windows exceed those shares. `FOLDS` pairs of dictionaries are trained, each
+   without a fold that calibrates it; the pair that tells its fold's labels best is used.
 
 A window is followed by a tail that both dictionaries hold: the compressor searches no
 matches in the last bytes of its input, and stores input that hardly shrinks as it is.
@@ -186,20 +187,33 @@ def fit(texts: list[str | None], toxic: list[int], share: float | None = None, w
     for k in (1, 0):  # dealt within each label
         own = np.flatnonzero(y == k)
         fold[own] = np.arange(len(own)) % FOLDS
-    reached = np.zeros((len(rows), len(GAINS) + 1))
+    found = []
     for f in range(FOLDS):
-        other = dictionaries(*([w for w, t, g in zip(rows, y, fold, strict=True) if t == k and g != f] for k in (1, 0)), window)
-        reached[fold == f] = other.reached([w for w, g in zip(rows, fold, strict=True) if g == f])
-    model = dictionaries(*split, window)
-    clean = reached[y == 0].sum(0)
-    model.shares = (clean[:-1] + 0.5) / (clean[-1] + 1)
-    model.weights = _logistic(model.features(reached), y)
+        seen = [[w for w, t, g in zip(rows, y, fold, strict=True) if t == k and g != f] for k in (1, 0)]
+        if all(seen) and len(set(y[fold == f])) == 2:
+            found.append(_calibrated(dictionaries(*seen, window), [w for w, g in zip(rows, fold, strict=True) if g == f], y[fold == f]))
+    if not found:  # too few rows to hold some back
+        found.append(_calibrated(dictionaries(*split, window), rows, y))
+    model = min(found, key=lambda x: x[0])[1]
     if share and share < 1:  # the sample has its own share of toxic rows
-        model.weights[-1] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    model.cutoff = float(np.quantile(_chance(model.features(reached) @ model.weights)[y == 0], CLEAN))
+        move = np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+        model.weights[-1] += move
+        model.cutoff = float(_chance(np.log(model.cutoff / (1 - model.cutoff)) + move))
     return model
 
 
+def _calibrated(model: Model, rows: list[list[bytes]], y: np.ndarray) -> tuple[float, Model]:
+    """The model with thresholds from rows that its dictionaries haven't seen, and how it does there: labels' mean log loss, each label weighing as much as the other."""
+    reached = model.reached(rows)
+    clean = reached[y == 0].sum(0)
+    model.shares = (clean[:-1] + 0.5) / (clean[-1] + 1)
+    x = model.features(reached)
+    model.weights = _logistic(x, y)
+    p = np.clip(_chance(x @ model.weights), 1e-6, 1 - 1e-6)
+    model.cutoff = float(np.quantile(p[y == 0], CLEAN))
+    return -(np.log(p[y == 1]).mean() + np.log(1 - p[y == 0]).mean()), model
+
+
 def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int], float]:
     """Labelled rows to fit on, and the share of toxic ones among all that could be.
 
