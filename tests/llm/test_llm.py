@@ -324,10 +324,10 @@ def test_toxicity(spark, odd, empty):
     assert 0 <= classify(odd, fit([], [])).first()["score"] <= 1
 
 
-def test_context_tree_weighting(odd, empty):
+@pytest.mark.parametrize("depth", [3, 5])
+def test_context_tree_weighting(odd, empty, depth):
     from gridloom.llm.op1_ctw import language_scores, words_of
 
-    depth = 3
     texts = [b" ".join(words_of(t)) + b"\n" for _, t, *_ in ROWS]
     out = [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, *_ in ROWS]
     count, below = collections.Counter(), collections.defaultdict(set)
@@ -362,7 +362,7 @@ def test_context_tree_weighting(odd, empty):
         base = sum(math.log10((vocabulary[x] + 1) / (total + distinct + 1)) for x in w)
         score = sum(math.log10(chance(c, u, bit)) for c, u, bit in steps(b"\n" * depth + b)) if len(b) < 700 else None
         want[i, len(w)].append((h, sum(vocabulary[x] > 0 for x in w), base, score))
-    for options in ({}, {"top_words": 5, "shard_bytes": 20_000}):
+    for options in ({}, {"top_words": 5, "shard_bytes": 20_000 if depth == 3 else 400_000}):
         got = language_scores(odd, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2, depth=depth, **options).collect()
         assert len(got) == len(ROWS)
         for r in got:
