@@ -3,11 +3,12 @@
 1. Each task normalises its rows, and rows of equal content within a batch become
    one record with the list of their row numbers, so a content that a third of all
    rows share is moved once for each batch.
-2. Records are written to spill files in the shared folder, partitioned by the first
-   bits of their content hash. A bucket whose bytes exceed `bucket_bytes` is read and
-   partitioned again by the next bits, until each fits or can't be split by hash.
-3. Buckets that still don't fit hold few contents many times over: they are dealt out
-   by hash and record number, and each share is reduced to one record for each content.
+2. Records are written once to spill files in the shared folder. Buckets are the first bits
+   of content hashes; of a bucket whose bytes exceed `bucket_bytes` the next bits are taken,
+   and so on, until each fits or can't be split by hash. This recursion reads hashes and
+   sizes alone; then one exchange partitions the records to the buckets found.
+3. Buckets that don't fit hold few contents many times over: they are dealt out by hash
+   and record number, and each share is reduced to one record for each content.
 4. Each bucket goes into an open-addressing table that compares complete contents.
 """
 
@@ -62,7 +63,7 @@ class OpenTable:
 
 
 def _records(batches):
-    """One record for each content of a batch. Contents go on compressed: one compressor gives equal bytes for equal contents, and for no others."""
+    """One record for each content of a batch. Contents go on compressed."""
     packer = zstandard.ZstdCompressor(level=1)
     for b in batches:
         rows, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
@@ -83,8 +84,8 @@ def _records(batches):
         )
 
 
-SLIM = "rec long, h long, content binary, sha binary, least long, least_row long, n long"
-RECORDS = f"{SLIM}, members array<struct<row:long,id:long>>"
+SLIM = "rec long, h long, content binary, least long, least_row long, n long"
+RECORDS = "rec long, h long, content binary, sha binary, least long, least_row long, n long, members array<struct<row:long,id:long>>"
 
 
 def _groups(last: bool):
@@ -92,9 +93,9 @@ def _groups(last: bool):
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        contents, hashes = t.column("content").chunk(0), t.column("h").to_numpy()
+        contents, hashes, unpack = t.column("content").chunk(0), t.column("h").to_numpy(), zstandard.ZstdDecompressor().decompress
         least, least_row, size = t.column("least").to_pylist(), t.column("least_row").to_pylist(), t.column("n").to_pylist()
-        first = OpenTable(t.num_rows).find(hashes, lambda i: contents[i].as_buffer()).tolist()
+        first = OpenTable(t.num_rows).find(hashes, lambda i: unpack(contents[i].as_buffer())).tolist()
         best, n = {}, dict.fromkeys(first, 0)
         for i, j in enumerate(first):
             n[j] += size[i]
@@ -105,30 +106,27 @@ def _groups(last: bool):
         if last:
             return pa.table([t.column("rec"), ids, rows, n], ["rec", "keep_id", "keep_row", "group_size"])
         to = t.column("rec").take(pa.array(first))
-        return t.select(["rec"]).append_column("to", to).append_column("h", t.column("h")).append_column("content", t.column("content")).append_column("sha", t.column("sha")).append_column("least", ids).append_column("least_row", rows).append_column("n", n)
+        return t.select(["rec"]).append_column("to", to).append_column("h", t.column("h")).append_column("content", t.column("content")).append_column("least", ids).append_column("least_row", rows).append_column("n", n)
 
     return run
 
 
-def grace_partition(records: DataFrame, bucket_bytes: int, fan_bits: int, max_levels: int = MAX_LEVELS) -> tuple[list[DataFrame], DataFrame | None]:
-    """Spill files of records by level, each with a column leaf that names the buckets that fit; and what hash bits can't split, with its bucket's bytes."""
-    fits: list[DataFrame] = []
-    level, rest, n = 0, records.withColumn("leaf", F.lit("")), 1 << fan_bits
-    while True:
+def grace_buckets(records: DataFrame, bucket_bytes: int, fan_bits: int, max_levels: int = MAX_LEVELS) -> tuple[DataFrame, DataFrame | None]:
+    """Records (with bytes) with a column leaf that names a bucket that fits; and those that hash bits can't split, with bytes of their bucket."""
+    n, rest, fits = 1 << fan_bits, records.withColumn("leaf", F.lit("")), []
+    for level in range(max_levels + 1):
+        if level == max_levels or fan_bits * level >= 63:
+            return common.union(fits), rest
         bits = F.shiftrightunsigned("h", max(0, 63 - fan_bits * (level + 1))).bitwiseAND(n - 1)
-        spread = rest.withColumn("leaf", F.concat_ws(".", "leaf", bits.cast("string"))).repartition(common.partitions(records.sparkSession), "leaf")
-        files = common.spool(spread, f"grace-{level}")
-        sizes = common.spool(files.groupBy("leaf").agg(F.sum(F.octet_length("content") + 96).alias("bytes"), (F.min("h") == F.max("h")).alias("one")), f"grace-sizes-{level}")
-        large = sizes.where(F.col("bytes") > bucket_bytes)
+        rest = rest.drop("total").withColumn("leaf", F.concat_ws(".", "leaf", bits.cast("string")))
+        sizes = rest.groupBy("leaf").agg(F.sum("bytes").alias("total"), (F.min("h") == F.max("h")).alias("one"))
+        large = common.small(sizes.where(F.col("total") > bucket_bytes), f"grace-large-{level}")  # as few as buckets that are too large
         if not large.take(1):
-            return [*fits, files], None
-        # a row for each bucket that is too large; Spark picks how to join them by their measured size
-        fits.append(files.join(large.select("leaf"), "leaf", "left_anti"))
-        rest = files.join(large, "leaf")
-        level += 1
-        if level == max_levels or fan_bits * level >= 63 or not large.where(~F.col("one")).take(1):
-            return fits, rest.drop("one")
-        rest = rest.drop("one", "bytes")
+            return common.union([*fits, rest]), None
+        fits.append(rest.join(large.select("leaf"), "leaf", "left_anti"))
+        rest = rest.join(large.select("leaf", "total"), "leaf")
+        if not large.where(~F.col("one")).take(1):
+            return common.union(fits), rest
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = 16 << 20, fan_bits: int | None = None, row: str | None = None) -> DataFrame:
@@ -136,7 +134,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes
 
     Texts are equal when their normalised bytes are; null counts as empty. The row of
     the smallest key stays; of several rows with that key, the first read. Null keys
-    come last: keep_id is null only where all keys of a group are. Other columns of docs
+    come last, others are whole numbers: keep_id is null only where all keys of a group
+    are. Other columns of docs
     are ignored; an empty table gives an empty one. fan_bits: hash bits a level, by
     default enough for two buckets a shuffle partition. row: a column of unique numbers,
     returned as _row; by default one is made.
@@ -144,18 +143,18 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes
     spark = docs.sparkSession
     rows = docs.select(common.row_number(row).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     fan_bits = fan_bits or min(16, max(6, (2 * common.partitions(spark) - 1).bit_length()))
-    fits, rest = grace_partition(rows.mapInArrow(_records, RECORDS), bucket_bytes, fan_bits)
+    records = common.spool(rows.mapInArrow(_records, RECORDS).withColumn("bytes", F.octet_length("content") + 96), "grace-records")
+    fits, rest = grace_buckets(records, bucket_bytes, fan_bits)
     found = "rec long, keep_id long, keep_row long, group_size long"
     slim = [x.split()[0] for x in SLIM.split(", ")]
-    leaves = common.union([x.select("leaf", *slim) for x in fits])
-    results = leaves.groupBy("leaf").applyInArrow(_groups(True), found)
+    results = fits.select("leaf", *slim).groupBy("leaf").applyInArrow(_groups(True), found)
     if rest is not None:
-        shares = F.ceil(F.col("bytes") / bucket_bytes)
+        shares = F.ceil(F.col("total") / bucket_bytes)
         cut = rest.withColumn("_share", F.pmod(F.xxhash64("rec"), shares)).select("_share", *slim).groupBy("h", "_share").applyInArrow(_groups(False), SLIM.replace("rec long, ", "rec long, to long, "))
         cut = common.spool(cut, "grace-shares")
         last = cut.where("rec = to").select(*slim).groupBy("h").applyInArrow(_groups(True), found)
         results = results.unionByName(cut.select("rec", "to").join(last.withColumnRenamed("rec", "to"), "to").drop("to"))
-    members = common.union([x.select("rec", "sha", F.explode("members").alias("m")) for x in ([*fits] if rest is None else [*fits, rest])])
+    members = records.select("rec", "sha", F.explode("members").alias("m"))
     out = members.join(common.spool(results, "grace-groups"), "rec")
     return out.select(F.col("m.id").alias(key), "keep_id", "group_size", (F.col("m.row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), F.col("m.row").alias("_row"))
 
