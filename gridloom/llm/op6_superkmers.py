@@ -5,11 +5,14 @@ A window is `window` consecutive words of a document; its minimiser is the least
 packed string, a super-k-mer, whose bucket is the minimiser: equal windows meet there.
 
 1. The first and last document of each minimiser show which ones several documents share;
-   windows of all others are in one document alone. A Bloom filter of those shared, if
-   they are few enough to send to all tasks, holds back the rest.
+   windows of all others are in one document alone. A Bloom filter of those shared, of
+   bounded size, is sent to all tasks and holds back the rest.
 2. Super-k-mers of equal content in a batch become one record with a list of its places;
    records go to their bucket without that list, where their windows are sorted by hash
    and equal ones compared word by word, giving each window's first document.
+   A bucket of more than `hot_records` is dealt out in shares by record: each share gives its
+   distinct windows with their first documents in it, these are merged by window, and shares
+   get back what began earlier in another one.
 3. Records whose windows began elsewhere earlier are joined with their places again, and
    documents with the windows to remove.
 """
@@ -28,8 +31,9 @@ from pyspark.sql import types as T
 from gridloom.llm import common
 
 WINDOW, MMER = 50, 12
+HOT_RECORDS = 1024
 LAST = 2**63 - 1
-#: Shared minimisers that a filter is sent for: 24 bits each, 48 MB at most.
+#: Shared minimisers that the filter has 24 bits each for, 48 MB at most.
 FILTER_KEYS = 1 << 24
 KEYS_A_BLOCK = 21
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -95,11 +99,9 @@ def _minimisers(window: int, mmer: int):
     return run
 
 
-def _filter(shared: DataFrame, n: int) -> np.ndarray | None:
-    """Blocks of eight words with a bit in each for every shared minimiser; None where they are too many."""
-    if n > FILTER_KEYS:
-        return None
-    blocks = (n // KEYS_A_BLOCK) | 1
+def _filter(shared: DataFrame, n: int) -> np.ndarray:
+    """Blocks of eight words with a bit in each for every shared minimiser; beyond FILTER_KEYS more get through that aren't shared."""
+    blocks = (min(n, FILTER_KEYS) // KEYS_A_BLOCK) | 1
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("mh", 7 * i + 3).bitwiseAND(63).cast("int"))
     rows = shared.groupBy(F.pmod("mh", F.lit(blocks)).alias("block")).agg(*(F.bit_or(bit(i)).alias(f"w{i}") for i in range(8))).toArrow()
     out = np.zeros((blocks, 8), np.int64)
@@ -120,7 +122,7 @@ RECORD = f"mh long, ldoc long, lrid long, lidx int, content binary, least long,
 
 def _records(window: int, mmer: int, sent):
     def run(batches):
-        blocks = sent.value if sent else None
+        blocks = sent.value
         for b in batches:
             seen: dict[bytes, list] = {}
             for doc, rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -128,7 +130,7 @@ def _records(window: int, mmer: int, sent):
                 mh, first, n = super_kmers(words, window, mmer)
                 if not len(mh):
                     continue
-                keep = np.flatnonzero(_possible(blocks, mh)) if blocks is not None else np.arange(len(mh))
+                keep = np.flatnonzero(_possible(blocks, mh))
                 for m, s, k in zip(mh[keep].tolist(), first[keep].tolist(), n[keep].tolist(), strict=True):
                     text = b" ".join(words[s : s + k + window - 1])
                     seen.setdefault(text, [m]).append((doc, rid, s))
@@ -177,19 +179,22 @@ def first_documents(contents: list[bytes], least: np.ndarray, window: int = WIND
 
 
 def _buckets(window: int):
-    """Sorted by mh: records some of whose windows began in an earlier document than the record's last one."""
+    """Sorted by mh: records some of whose windows began in an earlier document than the record's last one. A bucket is held until its last row."""
 
     def run(batches):
-        held = None
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            held = b if held is None else pa.concat_batches([held, b])
-            if held.num_rows:
-                mh = held.column(0).to_numpy()
-                cut = int(np.searchsorted(mh, mh[-1]))
-                yield solve(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None:
-            yield solve(held)
+            if not b.num_rows:
+                continue
+            mh = b.column(0).to_numpy()
+            cut = int(np.searchsorted(mh, mh[-1]))
+            if held and cut == 0 and held[-1].column(0)[-1].as_py() == int(mh[0]):
+                held.append(b)
+                continue
+            yield solve(pa.concat_batches([*held, b.slice(0, cut)]))
+            held = [b.slice(cut)]
+        if held:
+            yield solve(pa.concat_batches(held))
 
     def solve(b):
         mh, least, most = (b.column(k).to_numpy() for k in (0, 5, 6))
@@ -211,6 +216,48 @@ def _buckets(window: int):
     return run
 
 
+def _each_window(content: bytes, window: int) -> list[bytes]:
+    edges = [0]
+    for w in content.split(b" "):
+        edges.append(edges[-1] + len(w) + 1)
+    return [content[a : b - 1] for a, b in zip(edges, edges[window:], strict=False)]
+
+
+def _share_windows(window: int):
+    """Of a share of a hot bucket: (mh, share, window, first) for each distinct window."""
+
+    def run(t: pa.Table) -> pa.Table:
+        first: dict[bytes, int] = {}
+        for content, doc in zip(t.column("content").to_pylist(), t.column("least").to_pylist(), strict=True):
+            for w in _each_window(content, window):
+                if first.get(w, doc) >= doc:
+                    first[w] = doc
+        one = lambda c: pa.array([t.column(c)[0].as_py()] * len(first), pa.int64())
+        return pa.table([one("mh"), one("share"), pa.array(list(first), pa.binary()), pa.array(list(first.values()), pa.int64())], ["mh", "share", "window", "first"])
+
+    return run
+
+
+def _share_records(window: int):
+    """Of a share's records and its windows' first documents in the bucket: what _buckets gives."""
+
+    def run(t: pa.Table, firsts: pa.Table) -> pa.Table:
+        first = dict(zip(firsts.column("window").to_pylist(), firsts.column("first").to_pylist(), strict=True))
+        rows = [[first[w] for w in _each_window(c, window)] for c in t.column("content").to_pylist()]
+        keep = pa.array([min(r) < m for r, m in zip(rows, t.column("most").to_pylist(), strict=True)], pa.bool_())
+        return t.select(["ldoc", "lrid", "lidx"]).append_column("firsts", pa.array(rows, pa.list_(pa.int64()))).filter(keep)
+
+    return run
+
+
+def _in_shares(hot: DataFrame, window: int) -> DataFrame:
+    """Rows (mh, share, ...) of hot buckets, solved."""
+    mine = common.spool(hot.groupBy("mh", "share").applyInArrow(_share_windows(window), "mh long, share long, window binary, first long"), "hot-windows")
+    least = mine.groupBy("mh", "window").agg(F.min("first").alias("first"))
+    firsts = mine.select("mh", "share", "window").join(least, ["mh", "window"])
+    return hot.groupBy("mh", "share").cogroup(firsts.groupBy("mh", "share")).applyInArrow(_share_records(window), "ldoc long, lrid long, lidx int, firsts array<long>")
+
+
 def _cut(window: int, schema: T.StructType):
     def run(batches):
         for b in batches:
@@ -234,13 +281,13 @@ def _cut(window: int, schema: T.StructType):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, key: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, key: str = "doc_id", text: str = "text", texts: bool = True, hot_records: int = HOT_RECORDS) -> DataFrame:
     """Rows (key, n_words, n_removed, kept_sha256), with texts also kept_text and removed ([first, end) word spans); one for each row of docs.
 
     Removes each word covered by a window that also starts in a document of a smaller
     key; windows are judged on the input. Null texts have no words; a null key counts as
     larger than all. Rows equal in key and text get equal results. Other columns of docs
-    are ignored; an empty table gives an empty one.
+    are ignored; an empty table gives an empty one. Keys are whole numbers or null.
     """
     spark = docs.sparkSession
     doc = F.coalesce(F.col(key).cast("long"), F.lit(LAST))
@@ -248,11 +295,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, mmer: int = MMER, ke
     read = rows.select("doc", "rid", "_text")
     met = read.mapInArrow(_minimisers(window, mmer), "mh long, least long, most long")
     shared = common.spool(met.groupBy("mh").agg(F.min("least").alias("a"), F.max("most").alias("b")).where("a < b").select("mh"), "minimisers")
-    blocks = _filter(shared, shared.count())
-    sent = None if blocks is None else spark.sparkContext.broadcast(blocks)
+    sent = spark.sparkContext.broadcast(_filter(shared, shared.count()))
     records = common.spool(read.mapInArrow(_records(window, mmer, sent), RECORD), "super-kmers")
-    dealt = records.select("mh", "ldoc", "lrid", "lidx", "content", "least", "most").repartition(common.partitions(spark), "mh").sortWithinPartitions("mh")
-    found = dealt.mapInArrow(_buckets(window), "ldoc long, lrid long, lidx int, firsts array<long>").distinct()
+    slim = records.select("mh", "ldoc", "lrid", "lidx", "content", "least", "most")
+    hot = common.small(records.groupBy("mh").agg(F.count("*").alias("n"), F.min("least").alias("a"), F.max("most").alias("b")).where((F.col("n") > hot_records) & (F.col("a") < F.col("b"))).select("mh", F.ceil(F.col("n") / hot_records).alias("shares")), "hot-minimisers")
+    some = hot.take(1)
+    cold = slim.join(hot, "mh", "left_anti") if some else slim
+    found = cold.repartition(common.partitions(spark), "mh").sortWithinPartitions("mh").mapInArrow(_buckets(window), "ldoc long, lrid long, lidx int, firsts array<long>")
+    if some:
+        found = found.unionByName(_in_shares(slim.join(hot, "mh").withColumn("share", F.pmod(F.xxhash64("ldoc", "lrid", "lidx"), "shares")).drop("shares"), window))
+    found = found.distinct()
     places = records.select("ldoc", "lrid", "lidx", "places").join(found, ["ldoc", "lrid", "lidx"]).select(F.explode("places").alias("p"), "firsts")
     starts = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("p.doc"), F.col("p.start") + i)), lambda x: x.isNotNull())
     gone = places.select("p.doc", "p.rid", starts.alias("at")).where(F.size("at") > 0).groupBy("doc", "rid").agg(F.collect_list("at").alias("at"))  # no longer than the document's words

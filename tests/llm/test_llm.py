@@ -88,7 +88,8 @@ def test_spanning_links_join_what_brute_force_joins():
                 assert label[i] == label[j]
 
 
-def test_substrings(odd, empty):
+@pytest.mark.parametrize("hot_records", [1024, 1])
+def test_substrings(odd, empty, hot_records):
     from gridloom.llm.op6_superkmers import dedup_substrings
 
     words = [W.findall(t or "") for _, t, *_ in ROWS]
@@ -107,7 +108,7 @@ def test_substrings(odd, empty):
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         want.append((d, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
     assert sum(x[2] for x in want) > 500
-    got = dedup_substrings(odd).collect()
+    got = dedup_substrings(odd, hot_records=hot_records).collect()
     assert multiset((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in got) == multiset(want)
     assert all(sum(b - a for a, b in r["removed"]) == r["n_removed"] for r in got)
     assert dedup_substrings(empty).count() == 0
