@@ -116,6 +116,13 @@ class Replaced:
 KINDS = {"MinimalGridEncoder": Minimal, "GridWithSeparationEncoder": Separated, "RepeatNumberEncoder": Repeated, "GridCodeBlockEncoder": CodeBlock, "GridShapeEncoder": Shape, "RowNumberEncoder": RowNumber, "ReplaceNumberEncoder": Replaced}
 
 
+def register(name: str, kind: type) -> None:
+    """Let specs name a further codec: a class of one argument or none with to_text and to_grid."""
+    if not (hasattr(kind, "to_text") and hasattr(kind, "to_grid")):
+        raise ValueError(f"{name} has no to_text and to_grid")
+    KINDS[name] = kind
+
+
 def parse(spec: str):
     """The codec that spec names; ValueError for anything else."""
 

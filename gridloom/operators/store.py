@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +44,45 @@ def counters(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("total_activations"), F.countDistinct("sample_idx").alias("total_unique_samples"), F.countDistinct("layer").alias("layers"))
 
 
+def layer_counts(records: DataFrame, shard: str = "shard_id") -> DataFrame:
+    """(shard, layer, samples), with rollups: layer null for a whole shard, both null for all."""
+    return records.rollup(shard, "layer").agg(F.count("*").alias("samples"))
+
+
+def described(records: DataFrame, shard: str = "shard_id") -> DataFrame:
+    """A row for each shard: format version, its samples' range, samples, bytes, and a checksum that doesn't depend on the order of rows."""
+    size = nbytes(F.get("shape", F.lit(0)), F.get("shape", F.lit(1)))
+    digest = F.bit_xor(F.xxhash64("layer", "sample_idx", "activation"))
+    return records.groupBy(shard).agg(F.lit("1.0").alias("version"), F.min("sample_idx").alias("first_sample"), F.max("sample_idx").alias("last_sample"), F.countDistinct("sample_idx").alias("num_samples"), F.sum(size).alias("size_bytes"), F.lower(F.hex(digest)).alias("checksum"))
+
+
+def with_layer(shards: DataFrame, counts: DataFrame, layer: int, shard: str = "shard_id") -> DataFrame:
+    """The shards that hold a layer."""
+    return shards.join(counts.where(F.col("layer") == layer).select(shard), shard, "left_semi")
+
+
+def item(records: DataFrame, shard_id: int, place: int, shard: str = "shard_id") -> DataFrame:
+    """The place-th record (from 0) of one shard by sample and layer; that shard alone is read. No row where it has fewer."""
+    return records.where(F.col(shard) == shard_id).orderBy("sample_idx", "layer").offset(place).limit(1)
+
+
+def misshapen(records: DataFrame, hidden: int) -> DataFrame:
+    """Records whose array isn't what shape says, or whose rows aren't `hidden` wide."""
+    seq = F.get("shape", F.lit(0))
+    ok = (F.size("activation") == seq) & (F.get("shape", F.lit(1)) == hidden) & F.forall("activation", lambda r: F.size(r) == hidden)
+    return records.where(~F.coalesce(ok, F.lit(False)))
+
+
+def sample_mb(seq: Column, hidden: int, layers: int = 1, width: int = 4) -> Column:
+    """MB that a sample's activations take."""
+    return seq * hidden * layers * width / (1 << 20)
+
+
+def largest_batch(seq: Column, hidden: int, layers: int, free_gb: float, share: float = 0.8) -> Column:
+    """How many samples of seq ids and their activations fit into a share of the free memory."""
+    return F.floor(F.lit(free_gb) / (sample_mb(seq, hidden, layers) / 1024 + seq * 4 / (1 << 30)) * share).cast("long")
+
+
 def coverage(records: DataFrame, expected: DataFrame) -> DataFrame:
     """Layers that are expected and absent, or there and not expected."""
     there = records.select("layer").distinct()
@@ -80,6 +119,16 @@ def toy_model(layers: list[int], hidden: int) -> Model:
     return run
 
 
+def linear_model(layers: list[int], hidden: int) -> Model:
+    """A stand-in of whole numbers: component k of token t on layer l is (t + 1)(l + 1)(k + 1) mod 97."""
+
+    def run(tokens: np.ndarray) -> dict[int, np.ndarray]:
+        k = np.arange(1, hidden + 1)
+        return {layer: ((tokens[..., None] + 1) * (layer + 1) * k % 97).astype(np.float32) for layer in layers}
+
+    return run
+
+
 def extract(prompts: DataFrame, model: Model, batch: int, width: int | None = None, pad: int = 0) -> DataFrame:
     """Records of all layers for rows (sample_idx, tokens, text_preview).
 
@@ -89,16 +138,25 @@ def extract(prompts: DataFrame, model: Model, batch: int, width: int | None = No
     dropped; None: nothing is, and each batch is padded to its own longest row.
     """
 
-    def run(frames):
-        for f in frames:
-            for at in range(0, len(f), batch):
-                part = f.iloc[at : at + batch]
-                rows = [list(t)[:width] for t in part["tokens"]]
-                full = rows + [rows[-1]] * (batch - len(rows))
-                longest = max(map(len, rows)) if width is None else width
-                ids = np.array([r + [pad] * (longest - len(r)) for r in full], np.int64)
+    def record(layer: int, values: np.ndarray, size: np.ndarray, part: pa.RecordBatch) -> pa.RecordBatch:
+        inside = np.arange(values.shape[1])[None, :] < size[:, None]
+        cells, hidden = values[: len(size)][inside], values.shape[2]
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * hidden, pa.int32()), pa.array(cells.ravel(), pa.float32()))
+        grids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), rows)
+        shape = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * 2, pa.int32()), pa.array(np.c_[size, np.full(len(size), hidden)].ravel(), pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(size), layer, np.int32)), part.column("sample_idx").cast(pa.int64()), grids, shape, part.column("text_preview")], ["layer", "sample_idx", "activation", "shape", "text_preview"])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                rows = [t[:width] for t in part.column("tokens").to_pylist()]
+                size = np.array([len(r) for r in rows], np.int64)
+                ids = np.full((batch, int(size.max(initial=0)) if width is None else width), pad, np.int64)
+                for k in range(batch):
+                    row = rows[min(k, len(rows) - 1)]
+                    ids[k, : len(row)] = row
                 for layer, values in model(ids).items():
-                    kept = [v[: len(r)] for v, r in zip(values, rows, strict=False)]
-                    yield pd.DataFrame({"layer": layer, "sample_idx": part["sample_idx"].to_numpy(), "activation": [[list(map(float, x)) for x in v] for v in kept], "shape": [list(v.shape) for v in kept], "text_preview": part["text_preview"].to_numpy()})
+                    yield record(layer, values, size, part)
 
-    return prompts.mapInPandas(run, RECORD)
+    return prompts.select("sample_idx", "tokens", "text_preview").mapInArrow(run, RECORD)

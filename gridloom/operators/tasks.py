@@ -56,6 +56,54 @@ def augmented(samples: Column, flip: Column, turns: Column, colors: Column | Non
     return grid.on_samples(samples, both, "input", "output")
 
 
+def augmented_task(train: Column, test: Column, flip: Column, turns: Column, colors: Column | None, *key: Column) -> tuple[Column, Column]:
+    """A task turned and recolored, its training samples in an order drawn by key."""
+    order = grid.shuffled(F.sequence(F.lit(0), F.size(train) - 1), *key)
+    turned = grid.bound(augmented(train, flip, turns, colors), lambda t: F.transform(order, lambda i: F.get(t, i)))
+    return turned, augmented(test, flip, turns, colors)
+
+
+def randomly_augmented_task(train: Column, test: Column, *key: Column, swap: bool = True) -> tuple[Column, Column]:
+    """A task under drawn turns and colors, its samples dealt anew to train and test if swap."""
+    train, test = augmented_task(train, test, grid.draw("hflip", 2, *key) == 1, grid.draw("turns", 4, *key), grid.color_map(*key), *key)
+    return swap_train_and_test(train, test, *key) if swap else (train, test)
+
+
+def rounds(per_task: int, augmentations: int = 8) -> tuple[int, int]:
+    """(repeats of each augmentation, augmentations used) when per_task prompts for each test are wanted: whole rounds, until there are enough."""
+    repeats = max(1, per_task // augmentations)
+    return repeats, min(augmentations, max(1, -(-per_task // repeats)))
+
+
+def variants(tasks: DataFrame, per_task: int, colors: bool = True, seed: str = "0") -> DataFrame:
+    """tasks (task_id, train, test) with a row for each augmentation and repeat: aug_idx, hflip, n_rot90, repeat, color_map (null without colors), and train and test under them.
+
+    The order of rows is (the tasks' own, aug_idx, repeat); draws are keyed by seed, task, augmentation and repeat.
+    """
+    repeats, used = rounds(per_task)
+    rows = augmentations(tasks).where(F.col("aug_idx") < used).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    key = F.concat_ws(":", F.lit(seed), "task_id", F.col("aug_idx").cast("string"), F.col("repeat").cast("string"))
+    rows = rows.withColumn("color_map", grid.color_map(key) if colors else F.lit(None).cast("map<int,int>"))
+    train, test = augmented_task(F.col("train"), F.col("test"), F.col("hflip"), F.col("n_rot90"), F.col("color_map") if colors else None, key)
+    return rows.withColumns({"train": train, "test": test})
+
+
+#: Changes of a grid by name, which callers can add to: a function of (grid, key, shape) that is null where it has no room.
+CHANGES = {
+    "geometric": lambda g, key, shape: grid.geometric(g, grid.draw("hflip", 2, key) == 1, grid.draw("turns", 4, key)),
+    "padding": lambda g, key, shape: grid.bound(grid.padding_size(shape, key), lambda n: F.when(n.isNotNull(), grid.pad(g, grid.draw("color", 10, key), n["rows"], n["cols"]))),
+    "upscale": lambda g, key, shape: grid.bound(grid.upscale_factors(shape, key), lambda n: F.when(n.isNotNull(), grid.upscale(g, n["rows"], n["cols"]))),
+    "mirror": lambda g, key, shape: grid.mirror(g, grid.mirror_axis(shape, key), grid.draw("before", 2, key) == 1),
+}
+
+
+def changed(g: Column, name: str, key: Column, shape: Column) -> Column:
+    """One grid under a registered change; ValueError for a name that isn't registered."""
+    if name not in CHANGES:
+        raise ValueError(f"unknown change {name}; known: {sorted(CHANGES)}")
+    return CHANGES[name](g, key, shape)
+
+
 def swap_train_and_test(train: Column, test: Column, *key: Column) -> tuple[Column, Column]:
     """All samples in drawn order, the first of them as many as there were for training."""
     every = F.concat(train, test)

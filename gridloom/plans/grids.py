@@ -165,7 +165,8 @@ def _shaped(g: str) -> str:
     return f"('```grid shape: ' || len({g}) || 'x' || len({g}[1]) || chr(10) || {numbered} || chr(10) || '```')"
 
 
-def prompt_sql(name: str, train_prompt: bool = True) -> str:
+def prompt_sql(name: str, train_prompt: bool = True, tasks: str = sql.TASKS, source: str = "t0", keep: str = "key, task_id") -> str:
+    """A WITH clause that ends in p (keep, prompt), of the tasks in source."""
     v = prompts.VERSIONS[name]
     t = lambda s: sql.lit(s)
     parts = [t(v.intro)]
@@ -196,8 +197,8 @@ def prompt_sql(name: str, train_prompt: bool = True) -> str:
     end = "'<|im_end|>' || chr(10)"
     whole = f"'<|im_start|>system' || chr(10) || {t(v.system)} || {end} || '<|im_start|>user' || chr(10) || {' || '.join(parts)} || {end} || '<|im_start|>assistant' || chr(10) || {t(v.answer)} || ({reply})"
     whole += f" || {end}" if train_prompt else ""
-    e = f"e AS (SELECT key, task_id, list_transform(train, lambda s: {_shaped('s.input')}) AS ei, list_transform(train, lambda s: {_shaped('s.output')}) AS eo, {_shaped('test[1].input')} AS ti, {_shaped('test[1].output')} AS too FROM t0)"
-    return f"WITH {sql.TASKS}, {e}, p AS (SELECT key, task_id, {whole} AS prompt FROM e)"
+    e = f"e AS (SELECT {keep}, list_transform(train, lambda s: {_shaped('s.input')}) AS ei, list_transform(train, lambda s: {_shaped('s.output')}) AS eo, {_shaped('test[1].input')} AS ti, {_shaped('test[1].output')} AS too FROM {source})"
+    return f"WITH {tasks}, {e}, p AS (SELECT {keep}, {whole} AS prompt FROM e)"
 
 
 for _name in prompts.VERSIONS:

@@ -25,6 +25,16 @@ def write(tasks: DataFrame, path: str, shards: int, chunk_bytes: int, idx: str =
     return tasks.sparkSession.read.parquet(f"{path}/metadata")
 
 
+def write_counted(tasks: DataFrame, path: str, per_shard: int = 1000, per_chunk: int = 100, idx: str = "idx") -> DataFrame:
+    """tasks (idx, task_id, train, test) in shards of so many rows, in chunks of so many; returns and writes metadata. idx: 0, 1, 2, ..."""
+    shard, chunk = partition.shard_and_chunk(F.col(idx), per_shard, per_chunk)
+    rows = tasks.select(idx, F.to_json(F.struct("task_id", "train", "test")).alias("value"), shard.alias("shard"), chunk.alias("chunk"))
+    rows.repartition("shard", "chunk").sortWithinPartitions("shard", "chunk", idx).select("value", "shard", "chunk").write.partitionBy("shard", "chunk").text(f"{path}/data")
+    about = rows.groupBy("shard", "chunk").agg(F.count("*").alias("tasks"), F.sum(F.octet_length("value") + 1).alias("bytes")).withColumn("status", F.lit("available"))
+    about.write.parquet(f"{path}/metadata")
+    return tasks.sparkSession.read.parquet(f"{path}/metadata")
+
+
 def read(spark: SparkSession, path: str, shard: int) -> DataFrame:
     """The tasks of one shard; its folder alone is read."""
     at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")

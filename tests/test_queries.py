@@ -1,10 +1,10 @@
 import pytest
 from oracle import SF, same
 
-from gridloom.plans import data, grids
+from gridloom.plans import data, grids, jobs
 
-ALL = {**grids.QUERIES, **data.QUERIES}
-SQL = {**grids.ORACLES, **data.ORACLES}
+ALL = {**grids.QUERIES, **data.QUERIES, **jobs.QUERIES}
+SQL = {**grids.ORACLES, **data.ORACLES, **jobs.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
