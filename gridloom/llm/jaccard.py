@@ -31,7 +31,7 @@ from gridloom.llm.components import components
 from gridloom.llm.op5_simhash import finer_samples, links, majority, sampled_keys, shingle_hashes
 
 #: Rows of the sample that shows frequent shingles; of how many of its texts one must have; and how many are sent at most. They set the order, not the result.
-SAMPLE, FREQUENT, SENT = 50_000, 3, 200_000
+SAMPLE, FREQUENT, SENT = 20_000, 3, 200_000
 FLUSH = 500_000
 
 
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> Data
     return pairs.join(texts("hi"), "hi").join(texts("lo"), "lo").select("hi", "lo", "_hi", "_lo").mapInArrow(_verify(size, percent), "hi long, lo long")
 
 
-def near_duplicates(docs: DataFrame, row: str, shingle: int = 5, percent: int = 80, cell_rows: int = 32_768, words: int = 4, radius: int = 28, tables: int = 8, pivots: int = 16, bucket_rows: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, row: str, shingle: int = 5, percent: int = 80, cell_rows: int = 32_768, words: int = 4, radius: int = 40, tables: int = 16, pivots: int = 16, bucket_rows: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, component_id, kept, _row), one for each row of docs.
 
     Two rows are linked if the Jaccard similarity of their sets of shingles is percent / 100
