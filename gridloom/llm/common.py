@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.sources import shared
+
 #: Words are runs of anything but ASCII white space (space, \t..\r).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,30 +17,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 MOST_IDS = 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
-_local: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, an error on a cluster, and in local mode a local one made once."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local:
-        _local.append(tempfile.mkdtemp(prefix="gridloom-"))
-        atexit.register(shutil.rmtree, _local[0], True)
-    return f"file://{_local[0]}"
-
-
 def spool(df: DataFrame, name: str, *by: str, compression: str = "zstd") -> DataFrame:
     """df written once as Parquet to the shared folder and read again: it cuts lineage and outlives executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared.fresh(spark, name)
     writer = df.write.option("compression", compression)
     (writer.partitionBy(*by) if by else writer).parquet(path)
     _written.append((spark, path))
