@@ -3,8 +3,9 @@
 Texts that pass two plain rules are held against others of their language and source.
 Four transformed statistics make a vector; a minimum-covariance-determinant estimate
 (mean and covariance of the `SUBSET` share of vectors whose covariance has the least
-determinant, approached by concentration steps from medians and median deviations)
-describes the group, and vectors of too large a Mahalanobis distance are rejected.
+determinant, approached by concentration steps from medians and median deviations;
+of a group's steps the one of least determinant counts, and steps end when no group's
+determinant falls any more) describes the group, and vectors of too large a Mahalanobis distance are rejected.
 
 Each step sends partial sums only: medians come from mergeable sketches, and the
 distance that holds a share of a group is read from a histogram of its distances. What
@@ -32,7 +33,9 @@ CONSISTENCY = 1.4866
 FLOOR = (0.04, 0.25, 0.25, 0.25)
 #: Fixed value: the 0.999 quantile of chi-square with 4 degrees of freedom, where exp(-x / 2) * (1 + x / 2) is 0.001.
 CUTOFF = 18.4668
-LEAST_GROUP, STEPS, BINS = 60, 4, 64
+LEAST_GROUP, STEPS, BINS = 60, 10, 64
+#: A determinant that falls by less than this share has settled.
+SETTLED = 0.01
 X = ("x1", "x2", "x3", "x4")
 
 
@@ -107,7 +110,8 @@ def _factor(est: DataFrame, scale: float) -> DataFrame:
             rest = rest - F.col(f"f_{i}_{k}") * F.col(f"f_{j}_{k}")
         f[i, j] = F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"f_{j}_{j}")
         est = est.withColumn(f"f_{i}_{j}", f[i, j])
-    return est.select("group", *(f"m_{i}" for i in range(len(X))), *(f"f_{i}_{j}" for i, j in _pairs()))
+    det = reduce(Column.__mul__, (F.col(f"f_{i}_{i}") * F.col(f"f_{i}_{i}") for i in range(len(X))))
+    return est.select("group", *(f"m_{i}" for i in range(len(X))), *(f"f_{i}_{j}" for i, j in _pairs()), det.alias("det"))
 
 
 def _distance(rows: DataFrame, est: DataFrame) -> DataFrame:
@@ -141,7 +145,14 @@ def estimates(rows: DataFrame) -> DataFrame:
     spread = [(1.4826 * F.col(f"a_{i}")) ** 2 if i == j else F.lit(0.0) for i, j in _pairs()]
     est = common.small(_factor(off.withColumns({f"s_{i}_{j}": s for (i, j), s in zip(_pairs(), spread, strict=True)}), 1.0), "mcd-start")
     for k in range(STEPS):
-        est = common.small(_concentrate(rows, est), f"mcd-{k}")
+        new = _concentrate(rows, est).select("group", F.struct("*").alias("new"))
+        old = est.select("group", F.struct("*").alias("old"))
+        falls = F.lit(k == 0) | (F.col("new.det") < F.col("old.det"))  # the start is no estimate of a share of the rows
+        both = old.join(new, "group").select(F.when(falls, F.col("new")).otherwise(F.col("old")).alias("e"), (F.lit(k == 0) | (F.col("new.det") < (1 - SETTLED) * F.col("old.det"))).alias("fell"))
+        both = common.small(both.select("e.*", "fell"), f"mcd-{k}")
+        est = both.drop("fell")
+        if not both.where("fell").take(1):
+            break
     return est
 
 

@@ -2,7 +2,8 @@
 
 A list holds canonical keys: `host/path` prefixes of rules, and whole canonical URLs.
 Each distinct URL gives its candidate keys: its own canonical form, and every suffix of
-its host with every prefix of its path as long as some rule's. A key's hash names one
+its host, of at most as many labels as a rule's host has, with every prefix of its path
+as long as some rule's. A key's hash names one
 64-byte block of the filter and one bit in each of the block's eight words. Candidates
 whose block lacks a bit can't be listed; the rest are looked up by their keys, which
 removes false positives. Of the rules that are found the longest decides, else a listed
@@ -70,10 +71,10 @@ def listed(rules: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     return keys
 
 
-def candidates(urls: DataFrame, lengths: list[int]) -> DataFrame:
-    """(url, key) for rows (url, host, path): the keys that could be listed. lengths: of the rules' paths, in characters."""
+def candidates(urls: DataFrame, lengths: list[int], most_labels: int) -> DataFrame:
+    """(url, key) for rows (url, host, path): the keys that could be listed. lengths: of the rules' paths, in characters; most_labels: of a rule's host."""
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.sequence(F.greatest(F.size(labels) - most_labels + 1, F.lit(1)), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.filter(F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("r:"), s, p))))
     return urls.where(F.col("host") != "").select("url", F.explode(F.array_distinct(F.concat(keys, F.array(F.concat(F.lit("u:"), canonical(F.col("url"))))))).alias("key"))
@@ -85,8 +86,9 @@ def judge(pages: DataFrame, keys: DataFrame, key: str = "page_id", url: str = "u
     keys: a list as listed() makes it. verdict: the longest rule's (of equal rules the
     one that sorts first), else block for listed URLs, else allow. Null URLs and those
     without :// have empty host and path, no rule, and are allowed. Repeated rows are
-    judged once and get equal results; other columns of pages are ignored; an empty
-    table gives an empty one.
+    judged once and get equal results; a URL has at most as many candidates as rules
+    have path lengths times the labels of the longest rule's host, and one more, however
+    long it is; other columns of pages are ignored; an empty table gives an empty one.
     """
     rows = pages.select(F.col(key), F.col(url).alias("url"))
     keys = common.spool(keys.where("key is not null").distinct(), "url-list")
@@ -94,8 +96,9 @@ def judge(pages: DataFrame, keys: DataFrame, key: str = "page_id", url: str = "u
     blocks = max(1, n // KEYS_A_BLOCK)
     filters = common.spool(bloom(keys, blocks), "url-bloom")
     lengths = [r[0] for r in keys.where("rule is not null").select(F.length("rule") - F.instr("rule", "/") + 1).distinct().collect()]  # the distinct lengths of rule paths: a few numbers
+    most_labels = keys.agg(F.max(F.size(F.split(F.substring_index("rule", "/", 1), r"\.")))).first()[0] or 0
     urls = rows.select("url").distinct().withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
-    asked = candidates(urls, sorted(lengths)).select("url", "key", *_bits(F.col("key"), blocks))
+    asked = candidates(urls, sorted(lengths), max(1, most_labels)).select("url", "key", *_bits(F.col("key"), blocks))
     possible = asked.join(F.broadcast(filters) if blocks <= BROADCAST_BLOCKS else filters, "block")
     hit = reduce(Column.__and__, (F.col(f"w{i}").bitwiseAND(F.col(f"b{i}")) == F.col(f"b{i}") for i in range(WORDS)))
     possible = possible.where(hit).select("url", "key")

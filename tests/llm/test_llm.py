@@ -447,3 +447,51 @@ def test_state_maps_compose(monkeypatch, most):
     texts = ["a" * 1000, "ab" * 700 + " c", "hello" * 300, "x" * 90 + " " + "lorem ipsum " * 9 + "z" * 200, "".join(r.choice("aeinrst") for _ in range(3000)), "é漢" * 300, "", "b" * 17]
     lib, fst = Tokenizer.from_file(path), m.Transducer(path)
     assert fst.counts(texts).tolist() == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def _fast_mcd(x, share, floor, consistency, starts=60, seed=0):
+    """Plain FAST-MCD: concentration steps from many small random subsets, each to its end; the least determinant."""
+    r, n, h = np.random.default_rng(seed), len(x), math.ceil(share * len(x))
+    best = (math.inf, None, None)
+    for _ in range(starts):
+        pick = r.choice(n, 6, replace=False)
+        was = math.inf
+        for _ in range(100):
+            mean, cov = x[pick].mean(0), np.cov(x[pick].T, bias=True) + np.diag(floor)
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            pick = np.argsort(d, kind="stable")[:h]
+            now = np.linalg.det(np.cov(x[pick].T, bias=True) + np.diag(floor))
+            if now >= was * (1 - 1e-9):
+                break
+            was = now
+        if was < best[0]:
+            best = (was, x[pick].mean(0), consistency * np.cov(x[pick].T, bias=True) + np.diag(floor))
+    return best[1], best[2]
+
+
+def test_mcd_is_near_a_fit_of_many_starts(spark):
+    from gridloom.llm import op10_mcd_quality as m
+
+    r = np.random.default_rng(3)
+    mix = np.array([[0.5, 0, 0, 0], [0.3, 0.6, 0, 0], [0.1, 0.2, 0.4, 0], [0, 0.3, 0.1, 0.7]])
+    x = np.r_[r.normal(size=(900, 4)) @ mix.T + [6, 1, 1, 2], r.normal(size=(150, 4)) * 0.3 + [9, 5, 4, 6]]
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "group string, x1 double, x2 double, x3 double, x4 double")
+    mean, cov = _fast_mcd(x, m.SUBSET, np.array(m.FLOOR), m.CONSISTENCY)
+    want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    far = m._distance(rows, m.estimates(rows)).select("x1", "d2").collect()
+    got = dict((round(v["x1"], 9), v["d2"]) for v in far)
+    d2 = np.array([got[round(float(v[0]), 9)] for v in x])
+    assert np.mean((d2 > m.CUTOFF) == (want > m.CUTOFF)) > 0.995
+    assert np.corrcoef(np.sqrt(d2), np.sqrt(want))[0, 1] > 0.99
+    assert (d2[900:] > m.CUTOFF).all()
+
+
+def test_hosts_of_many_labels_have_few_candidates(spark):
+    from gridloom.llm.op2_url_filter import RULES, candidates, host, judge, listed, path
+
+    long = "http://" + "a." * 20_000 + "example.org/es/" + "x" * 50_000
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "b" * 100_000 + ".com/de/")], "page_id long, url string")
+    urls = pages.withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    assert candidates(urls, [1, 4, 5], 2).where("url like 'http://a%'").count() == 7
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge(pages, listed(spark.createDataFrame(list(RULES), "rule string, verdict string"))).collect()}
+    assert got == {1: ("example.org/es/", "block"), 2: ("com/de/", "block")}
