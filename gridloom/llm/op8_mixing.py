@@ -93,6 +93,23 @@ def _round(last: bool, level: int, seed: int):
     return run
 
 
+def _twins_apart(sized: DataFrame, chunk_docs: int) -> DataFrame:
+    """Rows whose _rank more than chunk_docs rows share get one for each chunk_docs of them, by their number among such rows.
+
+    Numbers go by partition (the high bits of _row) and place; equal rows can swap them without effect.
+    """
+    hot = common.small(sized.groupBy("_rank").agg(F.count("*").alias("n")).where(F.col("n") > chunk_docs).select("_rank"), "mix-equal")
+    if not hot.take(1):
+        return sized
+    twins = sized.join(hot, "_rank").select("_row", "_rank", F.shiftrightunsigned("_row", 33).alias("_part"))
+    sizes = twins.groupBy("_rank", "_part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_rank").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_rank", "_part").orderBy("_row")) - 1
+    number = twins.withColumn("_place", place).join(sizes.select("_rank", "_part", before.alias("_before")), ["_rank", "_part"])
+    mine = number.select("_row", F.xxhash64("_rank", F.floor((F.col("_before") + F.col("_place")) / chunk_docs)).alias("_own"))
+    return common.spool(sized.join(mine, "_row", "left").withColumn("_rank", F.coalesce("_own", "_rank")).drop("_own"), "mix-apart")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, chunk_docs: int = 4000, fan_in: int = 64, seed: int = 8, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """Rows (key, source, size, source_size, target, copies, taken), one for each row of docs.
 
@@ -104,7 +121,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     text_col = F.coalesce(F.col(text), F.lit(""))
     sized = docs.select(F.col(key), F.col(source).alias("source"), F.regexp_count(text_col, F.lit(common.WORD)).cast("long").alias("size"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), text_col).alias("_rank"), common.row_number(row).alias("_row"))
-    sized = common.spool(sized, "mix-sized")
+    sized = _twins_apart(common.spool(sized, "mix-sized"), chunk_docs)
     targets = common.spool(source_targets(sized, weights, share, cap).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     named = sized.withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))

@@ -495,3 +495,21 @@ def test_hosts_of_many_labels_have_few_candidates(spark):
     assert candidates(urls, [1, 4, 5], 2).where("url like 'http://a%'").count() == 7
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge(pages, listed(spark.createDataFrame(list(RULES), "rule string, verdict string"))).collect()}
     assert got == {1: ("example.org/es/", "block"), 2: ("com/de/", "block")}
+
+
+def test_mixing_deals_equal_rows_to_chunks(spark):
+    from gridloom.llm import op8_mixing as m
+
+    rows = [(7, "one two three", "a")] * 60 + [(i, " ".join(["w"] * (i % 9)), "ab"[i % 2]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    ranks = m._twins_apart(docs.select(F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", "text").alias("_rank")), 5).groupBy("_rank").count()
+    assert ranks.agg(F.max("count")).first()[0] <= 5
+    seen = []
+    for n in (2, 7):
+        got = m.mix(docs.repartition(n), chunk_docs=5, fan_in=2).collect()
+        assert len(got) == len(rows)
+        for s in "ab":
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 8
+        seen.append(multiset((r["doc_id"], r["taken"]) for r in got))
+    assert seen[0] == seen[1]
