@@ -365,7 +365,10 @@ def store_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return store.read(spark, at, [1, 4]).groupBy("layer").agg(F.count("*").alias("n"), F.sum("sample_idx").alias("ids"))
 
 
-@query("mapinpandas_model")
+_BYTES = "list_transform(range(0, octet_length(encode(text))), lambda i: ('0x' || hex(encode(text))[2 * i + 1:2 * i + 2])::INT)"
+
+
+@query("mapinpandas_model", f"WITH b AS (SELECT item_id, octet_length(encode(text)) AS n, {_BYTES} AS t FROM benchmark), l(layer) AS (VALUES (0), (3)) SELECT layer::INT AS layer, item_id AS sample_idx, n::INT AS seq, round(coalesce(list_sum(list_transform(t, lambda x: list_sum(list_transform(range(1, 9), lambda k: sin((x + 1.0::DOUBLE) * (layer + 1) * k)::FLOAT::DOUBLE)))), 0), 3) AS total FROM b, l")
 def mapinpandas_model(spark: SparkSession, d: str) -> DataFrame:
     """Prompts through the stand-in model, layers 0 and 3, and what its records hold."""
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("sample_idx"), tokens.byte_tokens("text").alias("tokens"), F.substring("text", 1, 200).alias("text_preview"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import codec, grid, prompts
 from gridloom.operators import tasks as ops
 from gridloom.plans import sql
-from gridloom.sources.tables import derived_grid, derived_tasks, table
+from gridloom.sources.tables import derived_grid, derived_tasks, large_grid, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,6 +119,34 @@ def grid_compose(spark: SparkSession, d: str) -> DataFrame:
     return derived_tasks(spark, d).withColumn("s", every).select("key", grid.text(F.element_at("s", -1)["input"]).alias("txt"))
 
 
+LARGE = "l0 AS (SELECT p_partkey AS key, p_partkey % 8 >= 4 AS hflip, (p_partkey % 4)::INT AS n_rot90, list_transform(range(0, 1 + p_partkey % 30), lambda r: list_transform(range(0, 1 + p_partkey * 7 % 30), lambda c: ((p_partkey * 7 + r * 3 + c * 5 + r * c) % 10)::INT)) AS g FROM part)"
+
+
+def large_grids(spark: SparkSession, d: str) -> DataFrame:
+    """(key, g, hflip, n_rot90): grids up to 30 x 30, each with one of the eight augmentations."""
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k.alias("key"), large_grid(k).alias("g"), (k % 8 >= 4).alias("hflip"), (k % 4).cast("int").alias("n_rot90"))
+
+
+@query("grid_large_geometric", f"WITH {LARGE} SELECT key, {sql.text(sql.geometric('g', 'hflip', 'n_rot90'))} AS txt FROM l0")
+def grid_large_geometric(spark: SparkSession, d: str) -> DataFrame:
+    return large_grids(spark, d).select("key", grid.text(grid.geometric(F.col("g"), F.col("hflip"), F.col("n_rot90"))).alias("txt"))
+
+
+@query("grid_large_encoded", f"WITH {LARGE} SELECT key, {sql.text('g')} AS txt FROM l0")
+def grid_large_encoded(spark: SparkSession, d: str) -> DataFrame:
+    """Large grids written and read by the default codec."""
+    own = codec.parse(codec.DEFAULT)
+    return large_grids(spark, d).select("key", grid.text(own.to_grid(own.to_text(F.col("g")))).alias("txt"))
+
+
+@query("grid_ragged_validate", f"WITH {LARGE} SELECT key, key % 5 <> 0 OR len(g) = 1 AS valid FROM l0")
+def grid_ragged_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Of every fifth grid the last row gets a cell more."""
+    last = F.transform("g", lambda r, i: F.when((F.col("key") % 5 == 0) & (i == F.size("g") - 1), F.concat(r, F.array(F.lit(1)))).otherwise(r))
+    return large_grids(spark, d).select("key", grid.is_valid(last).alias("valid"))
+
+
 # Codecs
 
 NUMBERED = "array_to_string(list_transform(range(0, len(g)), lambda i: (i + 1) || ' ' || array_to_string(g[i + 1], '')), chr(10))"
