@@ -129,6 +129,15 @@ def linear_model(layers: list[int], hidden: int) -> Model:
     return run
 
 
+def of_kind(model: Model, kind: str) -> Model:
+    """A model whose layers give arrays by kind (residual, mlp, attn) as one that gives those of one kind; others stay."""
+
+    def run(tokens: np.ndarray) -> dict[int, np.ndarray]:
+        return {layer: v[kind] if isinstance(v, dict) else v for layer, v in model(tokens).items()}
+
+    return run
+
+
 def extract(prompts: DataFrame, model: Model, batch: int, width: int | None = None, pad: int = 0) -> DataFrame:
     """Records of all layers for rows (sample_idx, tokens, text_preview).
 

@@ -52,6 +52,20 @@ def read_object(spark: SparkSession, path: str, first: int | None = None) -> Dat
     return pairs.orderBy("task_id").limit(first) if first else pairs
 
 
+#: How tasks are read, by kind of dataset; callers can add to it.
+READERS = {
+    "jsonl": lambda spark, path: unique_ids(parsed_tasks(lines(spark, path))),
+    "arc": lambda spark, path: global_index(read_object(spark, path), "task_id", to="line_idx"),
+}
+
+
+def read_tasks(spark: SparkSession, path: str, kind: str = "jsonl") -> DataFrame:
+    """(line_idx, task_id, train, test, ...) of a dataset; ValueError for a kind that isn't registered."""
+    if kind not in READERS:
+        raise ValueError(f"unknown kind of dataset {kind}; known: {sorted(READERS)}")
+    return READERS[kind](spark, path)
+
+
 def window_of(rows: DataFrame, idx: str, start: int, stop: int) -> DataFrame:
     return rows.where((F.col(idx) >= start) & (F.col(idx) < stop))
 

@@ -136,3 +136,49 @@ def test_large_ragged_grids(spark):
     got = rows.select("g", grid.is_valid(F.col("g")).alias("ok"), grid.rot90(grid.rot90(F.col("g"), F.lit(1)), F.lit(3)).alias("b"), own.to_grid(own.to_text(F.col("g"))).alias("t")).collect()
     assert [r["ok"] for r in got] == [True, False, False]
     assert got[0]["b"] == got[0]["t"] == g
+
+
+def test_commands(spark, tmp_path, capsys):
+    from gridloom import cli
+
+    grid = "[[1, 2], [3, 4]]"
+    line = f'{{"train": [{{"input": {grid}, "output": {grid}}}], "test": [{{"input": {grid}, "output": {grid}}}]}}'
+    (tmp_path / "in.jsonl").write_text("\n".join([line] * 7 + ["oops"]) + "\n")
+    source, out = str(tmp_path / "in.jsonl"), lambda x: str(tmp_path / x)
+    cli.main(["streams", source, "--out", out("streams"), "--streams", "3"])
+    assert spark.read.text(out("streams")).count() == 7
+    ledger = out("streams-manifest")
+    capsys.readouterr()
+    cli.main(["claim", ledger, "--pod", "p", "--stream", "2"])
+    cli.main(["claim", ledger, "--pod", "p"])
+    assert capsys.readouterr().out.split() == ["2", "0"]
+    cli.main(["complete", ledger, "--stream", "2"])
+    states = lambda: [r["status"] for r in control.Ledger(spark, ledger).read().orderBy("stream_id").collect()]
+    assert states() == ["in_progress", "pending", "completed"]
+    cli.main(["status", ledger])
+    assert "33.3" in capsys.readouterr().out
+    cli.main(["reset", ledger])
+    assert states() == ["pending"] * 3
+    cli.main(["shards", source, "--out", out("shards"), "--per-shard", "4", "--per-chunk", "2"])
+    assert [r["tasks"] for r in spark.read.parquet(out("shards/metadata")).orderBy("shard", "chunk").collect()] == [2, 2, 2, 1]
+    cli.main(["extract", source, "--out", out("store"), "--per-task", "2", "--layers", "0,1", "--hidden", "2"])
+    assert "completed" in capsys.readouterr().out
+    assert store.read(spark, out("store/records")).count() == 7 * 2 * 2
+
+
+def test_kinds_of_datasets_and_activations(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from gridloom.sources import jsonl
+
+    task = {"train": [{"input": [[1]], "output": [[2]]}], "test": [{"input": [[3]], "output": [[4]]}]}
+    (tmp_path / "all.json").write_text(json.dumps({"b": task, "a": task}))
+    rows = jsonl.read_tasks(spark, str(tmp_path / "all.json"), "arc").orderBy("line_idx").collect()
+    assert [(r["line_idx"], r["task_id"]) for r in rows] == [(0, "a"), (1, "b")]
+    with pytest.raises(ValueError):
+        jsonl.read_tasks(spark, "x", "other")
+    both = lambda t: {0: {"residual": np.zeros((*t.shape, 1)), "mlp": np.ones((*t.shape, 1))}, 1: np.full((*t.shape, 1), 5.0)}
+    got = store.of_kind(both, "mlp")(np.zeros((2, 3), int))
+    assert (got[0].max(), got[1].max()) == (1, 5)
