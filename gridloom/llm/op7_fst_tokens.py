@@ -38,6 +38,8 @@ TOKENIZER = "word_bpe_49k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 CHUNK = 512
+#: Symbols that are run before the table of states can be emptied.
+SEGMENT = 1 << 20
 #: Entry states in a chunk's map; chunks that are entered in another one run again after the scan.
 MAP_STATES = 32
 MAX_STATES = 100_000
@@ -173,8 +175,8 @@ class Transducer:
         back[order] = np.arange(len(order))
         return state[back] // self.width, count[back]
 
-    def scan(self, cols: np.ndarray, at: np.ndarray, length: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        """Counts of chunks in order, each entered in the exit state of the one before, or in `entry` where that isn't -1."""
+    def scan(self, cols: np.ndarray, at: np.ndarray, length: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and exit states of chunks in order, each entered in the exit state of the one before, or in `entry` where that isn't -1."""
         n, first = len(at), entry >= 0
         guess, _ = self.run(cols, at, length, np.zeros(n, np.int32))
         enter = np.where(first, entry, np.r_[0, guess[:-1]])[:, None].astype(np.int64)
@@ -208,7 +210,7 @@ class Transducer:
         for i in np.flatnonzero(own < 0).tolist():  # its map lacks the state: it runs from there
             left, more = self.run(cols, at[i : i + 1], length[i : i + 1], state[i - 1 : i].astype(np.int32))
             state[i], out[i] = left[0], more[0]
-        return out
+        return out, state
 
     def compile(self, keys: np.ndarray) -> None:
         for key in np.unique(keys).tolist():
@@ -256,15 +258,29 @@ class Transducer:
         return text.lower(), special
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        if len(self.states) > MAX_STATES:
-            self.forget()
         plain, special = zip(*map(self.normalise, texts), strict=True) if texts else ((), ())
         symbols, edges = self.symbols_of(list(plain))
+        out, state = np.array(special, np.int64), 0
+        for at in range(0, len(symbols), SEGMENT):
+            if len(self.states) > MAX_STATES:
+                open_ = self.states[state]
+                self.forget()
+                if state:
+                    state = self.number[open_] = len(self.states)
+                    self.states.append(open_)
+            stop = min(at + SEGMENT, len(symbols))
+            a, b = int(np.searchsorted(edges, at, side="right")) - 1, int(np.searchsorted(edges, stop, side="left"))
+            count, state = self.segment(symbols[at:stop], np.clip(edges[a : b + 1], at, stop) - at, state)
+            out[a:b] += count
+        return out
+
+    def segment(self, symbols: np.ndarray, edges: np.ndarray, state: int) -> tuple[np.ndarray, int]:
+        """Counts of the texts between edges, of which the first is entered in a state; and the state after the last."""
         cols = self.columns(symbols)
         size = np.diff(edges)
         n = -(-size // CHUNK)  # chunks of each text
         first = np.r_[0, np.cumsum(n)]
-        text = np.repeat(np.arange(len(texts)), n)
+        text = np.repeat(np.arange(len(size)), n)
         inside = np.arange(first[-1]) - first[text]
         at = edges[text] + inside * CHUNK
         length = np.minimum(CHUNK, edges[text + 1] - at)
@@ -272,7 +288,9 @@ class Transducer:
         head = np.append(final, len(symbols))[np.searchsorted(final, at)] + 1 - at  # up to the first pre-token end
         closed = head <= length
         head = np.where(inside == 0, 0, np.minimum(head, length))
-        exits, count = self.run(cols, at + head, length - head, np.zeros(len(at), np.int32))
+        start = np.zeros(len(at), np.int32)
+        start[:1] = state
+        exits, count = self.run(cols, at + head, length - head, start)
         exits = exits.copy()
         known = closed | (inside == 0)
         now = np.flatnonzero((inside > 0) & known[np.arange(len(inside)) - 1])
@@ -282,8 +300,10 @@ class Transducer:
         known[now] = True
         todo = np.setdiff1d(np.flatnonzero(inside > 0), now)  # inside one long pre-token
         if len(todo):
-            count[todo] += self.scan(cols, at[todo], head[todo], np.where(known[todo - 1], exits[todo - 1], -1))
-        return np.bincount(text, weights=count, minlength=len(texts)).astype(np.int64) + np.array(special, np.int64)
+            more, left = self.scan(cols, at[todo], head[todo], np.where(known[todo - 1], exits[todo - 1], -1))
+            count[todo] += more
+            exits[todo] = np.where(closed[todo], exits[todo], left)
+        return np.bincount(text, weights=count, minlength=len(size)).astype(np.int64), int(exits[-1]) if len(exits) else 0
 
 
 def _transducer(path: str) -> Transducer:

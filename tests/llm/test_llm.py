@@ -442,6 +442,8 @@ def test_state_maps_compose(monkeypatch, most):
 
     monkeypatch.setattr(m, "MAP_STATES", most)
     monkeypatch.setattr(m, "CHUNK", 16)
+    monkeypatch.setattr(m, "SEGMENT", 500 if most == 1 else 1 << 20)
+    monkeypatch.setattr(m, "MAX_STATES", 50 if most == 1 else 100_000)
     path = public_tokenizers.path("word_bpe_49k.json")
     r = random.Random(5)
     texts = ["a" * 1000, "ab" * 700 + " c", "hello" * 300, "x" * 90 + " " + "lorem ipsum " * 9 + "z" * 200, "".join(r.choice("aeinrst") for _ in range(3000)), "é漢" * 300, "", "b" * 17]
