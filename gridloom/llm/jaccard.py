@@ -33,6 +33,8 @@ from gridloom.llm.op5_simhash import finer_samples, links, majority, sampled_key
 #: Rows of the sample that shows frequent shingles; of how many of its texts one must have; and how many are sent at most. They set the order, not the result.
 SAMPLE, FREQUENT, SENT = 20_000, 3, 200_000
 FLUSH = 500_000
+#: Random keys have so many bits less than would tell all nodes apart: buckets hold some 2 ** SPARE nodes that have nothing in common.
+SPARE = 4
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -206,7 +208,7 @@ def near_duplicates(docs: DataFrame, row: str, shingle: int = 5, percent: int =
     nodes = common.spool(told.groupBy("digest").agg(F.min("_row").alias("node"), F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("least")), "jaccard-nodes")
     again = told.select("_row", "digest").join(nodes.select("digest", "node"), "digest").where("_row <> node").select("_row")
     firsts = told.join(common.small(again, "jaccard-again", common.MOST_IDS), "_row", "left_anti").withColumnRenamed("_row", "node")
-    keys = sampled_keys(64 * words, max(16, ceil(log2(nodes.count() + 1)) + 1), tables)
+    keys = sampled_keys(64 * words, max(8, ceil(log2(nodes.count() + 1)) - SPARE), tables)
     close = links(firsts.select("node", "fp"), radius, words, keys, finer_samples(64 * words), pivots, bucket_rows).distinct()
     first = common.spool(verified(close, rows, shingle, percent), "jaccard-first")
     roots = components(first)

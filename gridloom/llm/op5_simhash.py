@@ -144,38 +144,23 @@ def _cells(keys: dict[int, list[list[tuple[int, list[int]]]]], words: int):
     return run
 
 
-def spanning_links(fps: np.ndarray, refs: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join all that is joined by pairs within radius; (i, j) positions in fps."""
+def spanning_links(fps: np.ndarray, refs: np.ndarray, radius: int) -> list[tuple[int, int, int]]:
+    """The shortest links (i, j, bits) that join all that is joined by pairs within radius: a node at a time, the one nearest to what is joined."""
     n = len(fps)
     table = np.stack([_apart(fps, r[None, :]) for r in refs], axis=1)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    root, links = list(range(n)), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    step = max(1, min(n, 2_000_000 // max(1, n)))
-    for at in range(0, n, step):
-        stop = min(n, at + step)
-        end = int(np.searchsorted(table[:, 0], table[stop - 1, 0] + radius, side="right"))
-        if end <= at + 1:
-            continue
-        near = np.ones((stop - at, end - at), bool)
-        near[np.arange(stop - at)[:, None] >= np.arange(end - at)[None, :]] = False
-        for k in range(table.shape[1]):
-            near &= np.abs(table[at:stop, k][:, None] - table[at:end, k][None, :]) <= radius
-        i, j = np.nonzero(near)
-        good = _apart(fps[at + i], fps[at + j]) <= radius
-        for a, b in zip((at + i[good]).tolist(), (at + j[good]).tolist(), strict=True):
-            x, y = find(a), find(b)
-            if x != y:
-                root[y] = x
-                links.append((int(order[a]), int(order[b])))
-    return links
+    rest, at, out = np.arange(1, n), 0, []
+    best, by = np.full(n, radius + 1, np.int16), np.zeros(n, np.int64)
+    while len(rest):
+        near = rest[np.abs(table[rest] - table[at]).max(axis=1, initial=0) <= radius]
+        d = _apart(fps[near], fps[at][None, :])
+        closer = d < best[near]
+        best[near[closer]], by[near[closer]] = d[closer], at
+        k = int(best[rest].argmin())
+        at = int(rest[k])
+        rest = np.delete(rest, k)
+        if best[at] <= radius:
+            out.append((int(by[at]), at, int(best[at])))
+    return out
 
 
 def _spanning(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -231,21 +216,24 @@ def _link(words: int, pivots: int, radius: int):
         size = size[pick]
         first = np.r_[0, np.cumsum(size)[:-1]]
         table = np.stack([_apart(fps, r[None, :]) for r in refs], axis=1)
-        his, los = [], []
+        his, los, bits = [], [], []
         for n in range(2, SMALL + 1):  # all small buckets of a size at once
             i, j = np.triu_indices(n, 1)
             at = first[size == n][:, None]
             x, y = (at + i).ravel(), (at + j).ravel()
             near = np.abs(table[x] - table[y]).max(axis=1, initial=0) <= radius
             x, y = x[near], y[near]
-            near = _apart(fps[x], fps[y]) <= radius
-            his.append(x[near])
-            los.append(y[near])
+            d = _apart(fps[x], fps[y])
+            his.append(x[d <= radius])
+            los.append(y[d <= radius])
+            bits.append(d[d <= radius])
         for s, n in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
-            found = np.array(spanning_links(fps[s : s + n], refs, radius), np.int64).reshape(-1, 2)
+            found = np.array(spanning_links(fps[s : s + n], refs, radius), np.int64).reshape(-1, 3)
             his.append(s + found[:, 0])
             los.append(s + found[:, 1])
-        hi, lo = _spanning(node[np.concatenate(his)].tolist(), node[np.concatenate(los)].tolist())
+            bits.append(found[:, 2])
+        order = np.argsort(np.concatenate(bits), kind="stable")  # short links first
+        hi, lo = _spanning(node[np.concatenate(his)[order]].tolist(), node[np.concatenate(los)[order]].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], ["hi", "lo"])
 
     return run

@@ -78,8 +78,8 @@ def test_spanning_links_join_what_brute_force_joins():
     fps = np.concatenate([base ^ (np.uint64(1) << r.integers(0, 64, 6).astype(np.uint64)) for _ in range(30)])[:, None]
     links = spanning_links(fps, _pivots(16, 1), 2)
     label = list(range(len(fps)))
-    for i, j in links:
-        assert np.bitwise_count(fps[i] ^ fps[j]).sum() <= 2
+    for i, j, d in links:
+        assert np.bitwise_count(fps[i] ^ fps[j]).sum() == d <= 2
         a, b = label[i], label[j]
         label = [a if x == b else x for x in label]
     for i in range(len(fps)):
