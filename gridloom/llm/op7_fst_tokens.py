@@ -39,7 +39,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 CHUNK = 512
 #: Symbols that are run before the table of states can be emptied.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 22
 #: Entry states in a chunk's map; chunks that are entered in another one run again after the scan.
 MAP_STATES = 32
 MAX_STATES = 100_000
