@@ -27,6 +27,21 @@ def read(spark: SparkSession, path: str, layers: list[int] | None = None) -> Dat
     return rows if layers is None else rows.where(F.col("layer").isin(*layers))
 
 
+def finalize(records: DataFrame, path: str, shard: str = "shard_id") -> DataFrame:
+    """Write what a store's shards hold beside its records, and return it."""
+    described(records, shard).join(metadata(records, shard).select(shard, "layers"), shard).write.mode("overwrite").parquet(f"{path}/metadata")
+    return records.sparkSession.read.parquet(f"{path}/metadata")
+
+
+def load(spark: SparkSession, path: str, layers: list[int] | None = None) -> DataFrame:
+    """The records of all shards of a finalized store, under path/records; an error where metadata is absent."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(f"no metadata in {path}")
+    return read(spark, f"{path}/records", layers)
+
+
 def positions(activation: Column, at: list[int] | None) -> Column:
     """Rows of a [seq, hidden] array: all, or those at the positions, negative ones from the end."""
     if at is None:

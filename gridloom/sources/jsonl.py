@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import grid
-from gridloom.operators.partition import global_index, task_id_of
+from gridloom.operators.partition import global_index, stream_of, task_id_of
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -83,3 +83,10 @@ def write_tasks(tasks: DataFrame, path: str, by: str | None = None) -> None:
         tasks.select(line, by).repartition(by).write.partitionBy(by).text(path)
     else:
         tasks.select(line).write.text(path)
+
+
+def write_streams(converted: DataFrame, path: str, streams: int, idx: str = "idx") -> DataFrame:
+    """Converted rows (idx, task_id, train, test, reject) dealt to folders of streams; (stream_id, written, invalid) of each."""
+    rows = converted.withColumn("stream_id", stream_of(F.col(idx), streams))
+    write_tasks(rows.where("reject is null"), path, "stream_id")
+    return rows.groupBy("stream_id").agg(F.count_if(F.col("reject").isNull()).alias("written"), F.count_if(F.col("reject").isNotNull()).alias("invalid"))

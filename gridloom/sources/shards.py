@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import partition
@@ -36,7 +36,19 @@ def write_counted(tasks: DataFrame, path: str, per_shard: int = 1000, per_chunk:
 
 
 def read(spark: SparkSession, path: str, shard: int) -> DataFrame:
-    """The tasks of one shard; its folder alone is read."""
+    """The tasks (line_idx, chunk, task_id, train, test) of one shard; its folder alone is read.
+
+    A line that is no JSON ends its chunk. A task without an id is named by how many ids
+    came before it; of equal ids the last task stays, at the place of the first. An empty
+    or absent shard gives no rows.
+    """
     at = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at")
     lines = spark.read.text(f"{path}/data").where(F.col("shard") == shard).select("chunk", *at, F.col("value").alias("line"))
-    return jsonl.unique_ids(jsonl.parsed_tasks(partition.global_index(lines, "chunk", "_file", "_start", "_at", to="line_idx").drop("_file", "_start", "_at")))
+    lines = partition.global_index(lines, "chunk", "_file", "_start", "_at", to="line_idx").select("line_idx", "chunk", "line")
+    bad = lines.where(F.try_parse_json("line").isNull()).groupBy("chunk").agg(F.min("line_idx").alias("_bad"))
+    lines = lines.join(bad, "chunk", "left").where(F.coalesce(F.col("line_idx") < F.col("_bad"), F.lit(True))).drop("_bad")
+    rows = jsonl.parsed_tasks(lines).drop("line")
+    new = F.col("task_id").isNull() | (F.row_number().over(Window.partitionBy("task_id").orderBy("line_idx")) == 1)
+    places = partition.global_index(rows.withColumn("_new", new).where("_new").select("line_idx"), "line_idx", to="_place")
+    rows = rows.join(places, "line_idx", "left").withColumn("task_id", F.coalesce("task_id", partition.task_id_of(F.col("_place")))).drop("_place")
+    return jsonl.last_wins(rows).drop("line_idx").withColumnRenamed("first_idx", "line_idx").select("line_idx", "chunk", "task_id", "train", "test")

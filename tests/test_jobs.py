@@ -182,3 +182,39 @@ def test_kinds_of_datasets_and_activations(spark, tmp_path):
     both = lambda t: {0: {"residual": np.zeros((*t.shape, 1)), "mlp": np.ones((*t.shape, 1))}, 1: np.full((*t.shape, 1), 5.0)}
     got = store.of_kind(both, "mlp")(np.zeros((2, 3), int))
     assert (got[0].max(), got[1].max()) == (1, 5)
+
+
+def test_shards_with_bad_lines(spark, tmp_path):
+    from gridloom.sources import shards
+
+    task = lambda i, name: '{"task_id": "%s", "train": [{"input": [[%d]], "output": [[1]]}], "test": [{"input": [[1]]}]}' % (name, i)
+    bare = lambda i: '{"train": [{"input": [[%d]], "output": [[1]]}], "test": [{"input": [[1]]}]}' % i
+    chunks = {(0, 0): [task(0, "a"), bare(1), "oops", task(2, "lost")], (0, 1): [task(3, "a"), bare(4), task(5, "b")], (1, 0): [task(6, "c")]}
+    for (s, c), lines in chunks.items():
+        folder = tmp_path / "data" / f"shard={s}" / f"chunk={c}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_text("\n".join(lines) + "\n")
+    got = [(r["task_id"], r["train"][0]["input"][0][0]) for r in shards.read(spark, str(tmp_path), 0).orderBy("line_idx").collect()]
+    assert got == [("a", 3), ("task_00000001", 1), ("task_00000002", 4), ("b", 5)]
+    assert [r["task_id"] for r in shards.read(spark, str(tmp_path), 1).collect()] == ["c"]
+    assert shards.read(spark, str(tmp_path), 7).count() == 0
+
+
+def test_streams_are_written_and_counted(spark, tmp_path):
+    from gridloom.sources import jsonl
+
+    good = "[[[[1]],[[2]]],[[[3]],[[4]]]]"
+    rows = spark.createDataFrame([(i, good if i % 3 else "oops") for i in range(10)], "idx long, examples string")
+    counts = jsonl.write_streams(tasks.convert(rows), str(tmp_path / "s"), 2)
+    assert {(r["stream_id"], r["written"], r["invalid"]) for r in counts.collect()} == {(0, 3, 2), (1, 3, 2)}
+    assert spark.read.text(str(tmp_path / "s")).groupBy("stream_id").count().orderBy("stream_id").collect() == [(0, 3), (1, 3)]
+
+
+def test_a_store_without_metadata_is_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(0, i, [[1.0, 2.0]], [1, 2], "p", i // 2) for i in range(4)], store.RECORD + ", shard_id long")
+    store.write(rows, str(tmp_path / "s" / "records"))
+    with pytest.raises(FileNotFoundError):
+        store.load(spark, str(tmp_path / "s"))
+    about = store.finalize(rows, str(tmp_path / "s")).orderBy("shard_id").collect()
+    assert [(r["first_sample"], r["last_sample"], r["num_samples"], r["layers"]) for r in about] == [(0, 1, 2, [0]), (2, 3, 2, [0])]
+    assert store.load(spark, str(tmp_path / "s"), [0]).count() == 4
