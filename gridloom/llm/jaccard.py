@@ -30,8 +30,8 @@ from gridloom.llm import common
 from gridloom.llm.components import components
 from gridloom.llm.op5_simhash import finer_samples, links, majority, sampled_keys, shingle_hashes
 
-#: Rows of the sample that shows frequent shingles; of how many of its texts one must have; and how many are sent at most. They set the order, not the result.
-SAMPLE, FREQUENT, SENT = 20_000, 3, 200_000
+#: Rows of the sample that shows frequent shingles, or the share of all rows if that is more; of how many of its texts one must have; and how many are sent at most. They set the order, not the result.
+SAMPLE, SHARE, FREQUENT, SENT = 20_000, 0.25, 3, 200_000
 FLUSH = 500_000
 #: Random keys have so many bits less than would tell all nodes apart: buckets hold some 2 ** SPARE nodes that have nothing in common.
 SPARE = 4
@@ -48,7 +48,7 @@ def prefix_length(n, percent: int):
 
 def _frequent(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, ascending, of shingles frequent in a sample, and of how many rows they are in about."""
-    share = min(1.0, SAMPLE / max(1, rows.count()))
+    share = min(1.0, max(SHARE, SAMPLE / max(1, rows.count())))
 
     def run(batches):
         for b in batches:
