@@ -29,3 +29,15 @@ def test_model_records_hold_whole_texts(spark):
     got = {(r["layer"], r["sample_idx"]): (r["seq"], r["total"]) for r in ALL["mapinpandas_model"](spark, SF).collect()}
     assert got.keys() == want.keys() and max(n for n, _ in want.values()) > 200
     assert all(got[k][0] == n and abs(got[k][1] - v) < 1e-2 for k, (n, v) in want.items())
+
+
+def test_solutions_of_orders_given_twice(spark, tmp_path):
+    import duckdb
+    from oracle import TABLES
+
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    for t, rows in {"orders": "SELECT * FROM {0} UNION ALL SELECT * FROM {0}", "lineitem": "SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM {0}"}.items():  # without ties, whose order the SQL leaves open
+        (tmp_path / f"{t}.parquet").unlink()
+        duckdb.sql(f"COPY ({rows.format(repr(f'{SF}/{t}.parquet'))}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    same(spark, ALL["solutions_left_outer"], SQL["solutions_left_outer"], tmp_path)
