@@ -41,3 +41,16 @@ def test_solutions_of_orders_given_twice(spark, tmp_path):
         (tmp_path / f"{t}.parquet").unlink()
         duckdb.sql(f"COPY ({rows.format(repr(f'{SF}/{t}.parquet'))}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
     same(spark, ALL["solutions_left_outer"], SQL["solutions_left_outer"], tmp_path)
+
+
+def test_solutions_of_negative_and_large_keys(spark, tmp_path):
+    import duckdb
+    from oracle import TABLES
+
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    for t, key, rows in (("orders", "o_orderkey", "SELECT * FROM {0}"), ("lineitem", "l_orderkey", "SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM {0}")):  # without ties, whose order the SQL leaves open
+        (tmp_path / f"{t}.parquet").unlink()
+        other = f"SELECT * REPLACE ({key} * (CASE WHEN {key} % 2 = 0 THEN -1 ELSE 100000000000001 END) AS {key}) FROM ({rows.format(repr(f'{SF}/{t}.parquet'))})"
+        duckdb.sql(f"COPY ({other}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    same(spark, ALL["solutions_left_outer"], SQL["solutions_left_outer"], tmp_path)
